@@ -104,7 +104,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
 
 ORACLE = f"""
 WITH d AS (
-  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')) AS size,
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size,
          md5(CAST(doc_id AS VARCHAR)) AS h
   FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
