@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, urlfilter
+from . import fingerprints, mixing, substrings, tokencounts, toxicity, urlfilter
 from .common import read
 
 
@@ -17,8 +17,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": substrings.op2_substring_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_url_filters": urlfilter.op5_url_filters,
+    "op7_token_counts": tokencounts.op7_token_counts,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL = {"op5_url_filters": urlfilter.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op2_substring_dedup": substrings.ORACLE, "op5_url_filters": urlfilter.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -126,20 +126,18 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def windows(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of the ``n`` words from each position on, by doubling, and which positions have so many in their row."""
-    size = max(len(words) - n + 1, 0)
-    inside = row[n - 1 :] == row[:size] if size else np.zeros(0, bool)
-    if not size:
-        return np.zeros(0, U), inside
+    size = len(words) - n + 1
+    if size <= 0:
+        return np.zeros(0, U), np.zeros(0, bool)
     have, length, power, width = None, 0, words, 1
     while True:
         if n & width:
-            have = power[:] if have is None else joined(have[: len(have) - width] if len(have) > width else have[:0], power[length : length + max(len(have) - width, 0)])
+            have = power if have is None else joined(have[: len(have) - width], power[length : length + len(have) - width])
             length += width
         if width * 2 > n:
-            break
+            return have, row[n - 1 :] == row[:size]
         power = joined(power[: len(power) - width], power[width:])
         width *= 2
-    return have[:size], inside
 
 
 def least(x: np.ndarray, n: int, most: bool = False) -> np.ndarray:
