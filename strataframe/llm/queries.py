@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, substrings, tokencounts, toxicity, urlfilter
+from . import fingerprints, jaccard, mixing, substrings, tokencounts, toxicity, urlfilter
 from .common import read
 
 
@@ -20,8 +20,9 @@ QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_url_filters": urlfilter.op5_url_filters,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_token_counts": tokencounts.op7_token_counts,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL = {"op2_substring_dedup": substrings.ORACLE, "op5_url_filters": urlfilter.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op2_substring_dedup": substrings.ORACLE, "op5_url_filters": urlfilter.ORACLE, "op6_jaccard_join": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}
