@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, mixing, substrings, tokencounts, toxicity, urlfilter
+from . import fingerprints, jaccard, mixing, quality, substrings, tokencounts, toxicity, urlfilter
 from .common import read
 
 
@@ -17,6 +17,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_url_filters": urlfilter.op5_url_filters,

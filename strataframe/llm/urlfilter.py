@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import LOWER, UPPER, read
 
 #: (host, path start, verdict)
@@ -17,7 +18,6 @@ RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 #: Hosts whose pages make up the list of the registered query.
 LISTED_HOSTS = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-BLOCKS = 1 << 16
 
 
 def host(url: Column) -> Column:
@@ -37,22 +37,7 @@ def fits(host: Column, rule_host: str) -> Column:
     return (host == rule_host) | host.endswith("." + rule_host)
 
 
-def _masks() -> list[Column]:
-    """Two bits in each of the four words of a URL's block."""
-    return [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_h2, {12 * i}) & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned(_h2, {12 * i + 6}) & 63 as int))") for i in range(4)]
-
-
-def _hashed(df: DataFrame, blocks: int) -> DataFrame:
-    df = df.withColumn("_block", F.pmod(F.xxhash64("_url"), F.lit(blocks)).cast("int")).withColumn("_h2", F.xxhash64(F.lit(1), "_url"))
-    return df.withColumns({f"_m{i}": m for i, m in enumerate(_masks())}).drop("_h2")
-
-
-def bloom(listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``_block, _w0 .. _w3`` for rows ``_url``; at most ``blocks`` rows."""
-    return _hashed(listed, blocks).groupBy("_block").agg(*[F.bit_or(f"_m{i}").alias(f"_w{i}") for i in range(4)])
-
-
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = BLOCKS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = bloom.BLOCKS) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages``; ``listed`` holds host and path of listed URLs.
 
     A null url, or one without ``://``, has an empty host and path; it is allowed unless the empty URL is listed. Rows
@@ -63,11 +48,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int =
     rule = lambda value: F.coalesce(*[F.when(fits(F.col("host"), h) & F.col("path").startswith(p), F.lit(value(h, p, v))) for h, p, v in ranked])
     seen = seen.withColumn("rule", rule(lambda h, p, v: h + p)).withColumn("_ruled", rule(lambda h, p, v: v)).withColumn("_url", canonical(F.col("host"), F.col("path")))
     urls = listed.select(canonical(F.col("host"), F.col("path")).alias("_url")).distinct()
-    probe = _hashed(seen, blocks).join(F.broadcast(bloom(urls, blocks)), "_block", "left")
-    passes = F.col("_ruled").isNull()
-    for i in range(4):
-        passes = passes & F.coalesce(F.col(f"_w{i}").bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}"), F.lit(False))
-    probe = probe.withColumn("_maybe", passes).select("page_id", "host", "path", "rule", "_ruled", "_url", "_maybe")
+    probe = bloom.probed(seen, "_url", bloom.bloom(urls, "_url", blocks), blocks).withColumn("_maybe", F.col("_maybe") & F.col("_ruled").isNull())
     sure = probe.filter(~F.col("_maybe")).select("page_id", "host", "path", "rule", F.coalesce("_ruled", F.lit("allow")).alias("verdict"))
     found = probe.filter("_maybe").join(urls.withColumn("_in", F.lit(True)), "_url", "left")
     return sure.unionByName(found.select("page_id", "host", "path", "rule", F.when(F.col("_in"), "block").otherwise("allow").alias("verdict")))
