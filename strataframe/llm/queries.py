@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, mixing, quality, substrings, tokencounts, toxicity, urlfilter
+from . import fingerprints, jaccard, mixing, pii, quality, substrings, tokencounts, toxicity, urlfilter
 from .common import read
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op5_url_filters": urlfilter.op5_url_filters,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_token_counts": tokencounts.op7_token_counts,
+    "op8_pii": pii.op8_pii,
     "op9_fingerprints": op9_fingerprints,
     "op10_mixing": op10_mixing,
 }
