@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, mixing, pii, quality, substrings, tokencounts, toxicity, urlfilter
+from . import decontaminate, fingerprints, jaccard, mixing, pii, quality, substrings, tokencounts, toxicity, urlfilter
 from .common import read
 
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op5_url_filters": urlfilter.op5_url_filters,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_token_counts": tokencounts.op7_token_counts,
