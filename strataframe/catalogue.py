@@ -1,4 +1,8 @@
 """Every registered query of the engine and its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .plans import cell_queries, raster_queries  # noqa: F401 - they register
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
