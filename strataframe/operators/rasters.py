@@ -7,8 +7,17 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-ROW, COL = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+
+def along() -> WindowSpec:
+    """Along a row."""
+    return Window.partitionBy("row").orderBy("col")
+
+
+def down() -> WindowSpec:
+    """Down a column."""
+    return Window.partitionBy("col").orderBy("row")
 
 
 def dense(cells: DataFrame, height: int, width: int) -> DataFrame:
@@ -24,7 +33,7 @@ def _central(v: Column, w, at: str, last: int, step: float) -> Column:
 
 def gradient(grid: DataFrame, height: int, width: int, cell: float, cell_y: float | None = None, z: str = "z") -> DataFrame:
     """A dense grid with ``gx`` and ``gy``: central differences, one-sided at the grid's border, null next to a null."""
-    return grid.withColumn("gx", _central(F.col(z), ROW, "col", width - 1, cell)).withColumn("gy", _central(F.col(z), COL, "row", height - 1, cell_y or cell))
+    return grid.withColumn("gx", _central(F.col(z), along(), "col", width - 1, cell)).withColumn("gy", _central(F.col(z), down(), "row", height - 1, cell_y or cell))
 
 
 def slope(grid: DataFrame, height: int, width: int, cell: float, cell_y: float | None = None) -> DataFrame:
@@ -36,22 +45,22 @@ def laplacian(grid: DataFrame, z: str = "z") -> DataFrame:
     """``lap``: the five-point Laplacian, an outside neighbour counting as the cell itself (reflection)."""
     v = F.col(z)
     side = lambda f, w: F.coalesce(f(v).over(w), F.when(f(F.lit(1)).over(w).isNull(), v))  # noqa: E731 - absent outside, null inside
-    return grid.withColumn("_h", side(F.lag, ROW) + side(F.lead, ROW)).withColumn("_v", side(F.lag, COL) + side(F.lead, COL)).withColumn("lap", F.col("_h") + F.col("_v") - 4 * v).drop("_h", "_v")
+    return grid.withColumn("_h", side(F.lag, along()) + side(F.lead, along())).withColumn("_v", side(F.lag, down()) + side(F.lead, down())).withColumn("lap", F.col("_h") + F.col("_v") - 4 * v).drop("_h", "_v")
 
 
 def box(grid: DataFrame, radius: int, z: str = "z") -> DataFrame:
     """``box_n, box_mean``: the cells with data in a square window and their mean; two running sums on a dense grid."""
-    across, down = ROW.rowsBetween(-radius, radius), COL.rowsBetween(-radius, radius)
+    across, below = along().rowsBetween(-radius, radius), down().rowsBetween(-radius, radius)
     sums = grid.withColumns({"_s": F.coalesce(F.sum(z).over(across), F.lit(0)), "_n": F.count(z).over(across)})
-    sums = sums.withColumns({"_s": F.sum("_s").over(down), "box_n": F.sum("_n").over(down)})
+    sums = sums.withColumns({"_s": F.sum("_s").over(below), "box_n": F.sum("_n").over(below)})
     return sums.withColumn("box_mean", F.when(F.col("box_n") > 0, F.col("_s") / F.col("box_n"))).drop("_s", "_n")
 
 
 def opened(grid: DataFrame, radius: int, z: str = "z", out: str = "open") -> DataFrame:
     """Morphological opening by a square of 2 radius + 1 cells: least, then greatest, each along rows and columns."""
-    across, down = ROW.rowsBetween(-radius, radius), COL.rowsBetween(-radius, radius)
-    got = grid.withColumn(out, F.min(z).over(across)).withColumn(out, F.min(out).over(down))
-    return got.withColumn(out, F.max(out).over(across)).withColumn(out, F.max(out).over(down))
+    across, below = along().rowsBetween(-radius, radius), down().rowsBetween(-radius, radius)
+    got = grid.withColumn(out, F.min(z).over(across)).withColumn(out, F.min(out).over(below))
+    return got.withColumn(out, F.max(out).over(across)).withColumn(out, F.max(out).over(below))
 
 
 def shifted(cells: DataFrame, offsets: list[tuple], *more: str) -> DataFrame:
@@ -111,7 +120,7 @@ def span_footprint(cells: DataFrame, axis: str = "row") -> DataFrame:
 
 def runs(cells: DataFrame) -> DataFrame:
     """``row, lo, hi``: unbroken runs of occupied cells (gaps and islands)."""
-    island = cells.select("row", "col").distinct().withColumn("_i", F.col("col") - F.row_number().over(ROW))
+    island = cells.select("row", "col").distinct().withColumn("_i", F.col("col") - F.row_number().over(along()))
     return island.groupBy("row", "_i").agg(F.min("col").alias("lo"), F.max("col").alias("hi")).drop("_i")
 
 

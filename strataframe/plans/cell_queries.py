@@ -10,11 +10,13 @@ from .binding import P, cloud, table
 from .registry import query
 
 
+
 def N(c="n"):  # noqa: N802
     return F.col(c).cast("bigint")
 
 
-one = F.count(F.lit(1))
+def one():
+    return F.count(F.lit(1))
 
 
 @query(P + " SELECT xi, yi, sum(zi)::DOUBLE / count(*) AS z_mean, count(*) AS n FROM p GROUP BY xi, yi")
@@ -30,12 +32,12 @@ def dedupe_lowest(spark: SparkSession, d: str) -> DataFrame:
 @query(P + " SELECT xi, yi, max(zi) AS z, arg_min(zi, psid * 1000000000000 + zi) AS z_first, count(*) AS n FROM p GROUP BY xi, yi")
 def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     p = cloud(spark, d)
-    return p.groupBy("xi", "yi").agg(F.max("zi").alias("z"), F.min_by("zi", F.struct("psid", "zi")).alias("z_first"), one.alias("n"))
+    return p.groupBy("xi", "yi").agg(F.max("zi").alias("z"), F.min_by("zi", F.struct("psid", "zi")).alias("z_first"), one().alias("n"))
 
 
 @query(P + ", g AS (SELECT xi, yi, count(*) AS n FROM p GROUP BY 1, 2) SELECT sum(n)::BIGINT AS points_in, count(*) AS points_out, count_if(n > 1)::BIGINT AS collision_groups, sum(n - 1)::BIGINT AS dropped FROM g")
 def dedupe_report(spark: SparkSession, d: str) -> DataFrame:
-    return C.dedupe_xy(cloud(spark, d), "xi", "yi", "zi", "lowest").agg(F.sum("n").alias("points_in"), one.alias("points_out"), F.count_if(F.col("n") > 1).alias("collision_groups"), F.sum(F.col("n") - 1).alias("dropped"))
+    return C.dedupe_xy(cloud(spark, d), "xi", "yi", "zi", "lowest").agg(F.sum("n").alias("points_in"), one().alias("points_out"), F.count_if(F.col("n") > 1).alias("collision_groups"), F.sum(F.col("n") - 1).alias("dropped"))
 
 
 @query(P + ", s AS (SELECT CAST(round_even(xi / 4.0, 0) AS BIGINT) * 4 AS xs, CAST(round_even(yi / 4.0, 0) AS BIGINT) * 4 AS ys, zi FROM p) SELECT xs, ys, min(zi) AS z, count(*) AS n FROM s GROUP BY 1, 2")
@@ -45,17 +47,17 @@ def snap_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query(P + ", c AS (SELECT DISTINCT xi // 50 AS cx, yi // 50 AS cy FROM p) SELECT (SELECT count(*) FROM p) AS n, (SELECT count(*) FROM c) AS cells, round((SELECT count(*) FROM p)::DOUBLE / ((SELECT count(*) FROM c) * 25), 6) AS density")
 def covered_density(spark: SparkSession, d: str) -> DataFrame:
-    return C.by_cell(cloud(spark, d), 50).agg(one.alias("k")).agg(F.sum("k").alias("n"), one.alias("cells")).withColumn("density", F.round(F.col("n") / (F.col("cells") * 25), 6))
+    return C.by_cell(cloud(spark, d), 50).agg(one().alias("k")).agg(F.sum("k").alias("n"), one().alias("cells")).withColumn("density", F.round(F.col("n") / (F.col("cells") * 25), 6))
 
 
 @query(P + ", c AS (SELECT xi // 100 AS cx, yi // 100 AS cy, count(*) AS n FROM p GROUP BY 1, 2) SELECT median(n) / 100 AS density, count(*) AS cells FROM c")
 def return_density(spark: SparkSession, d: str) -> DataFrame:
-    return C.by_cell(cloud(spark, d), 100).agg(one.alias("n")).agg((F.median("n") / 100).alias("density"), one.alias("cells"))
+    return C.by_cell(cloud(spark, d), 100).agg(one().alias("n")).agg((F.median("n") / 100).alias("density"), one().alias("cells"))
 
 
 @query(P + " SELECT xi // 50 AS cx, yi // 50 AS cy, count(*) AS n, sum(zi)::DOUBLE / count(*) AS z_mean, min(zi) AS z_min, max(zi) AS z_max FROM p GROUP BY 1, 2")
 def cell_mean(spark: SparkSession, d: str) -> DataFrame:
-    return C.by_cell(cloud(spark, d), 50).agg(one.alias("n"), (F.sum("zi") / F.count("zi")).alias("z_mean"), F.min("zi").alias("z_min"), F.max("zi").alias("z_max"))
+    return C.by_cell(cloud(spark, d), 50).agg(one().alias("n"), (F.sum("zi") / F.count("zi")).alias("z_mean"), F.min("zi").alias("z_min"), F.max("zi").alias("z_max"))
 
 
 FLOOR = P + """, q AS (SELECT xi // {s} AS cx, yi // {s} AS cy, count(*) AS n, quantile_cont(zi, 0.1) AS lo, quantile_cont(zi, 0.9) AS hi, min(zi) AS mn, max(zi) AS mx FROM p GROUP BY 1, 2),
@@ -94,7 +96,7 @@ SELECT c.cx, c.cy, n_sources, round(gap, 6) AS gap, count_if(p.zi > low + 12)::B
 def source_disagreement(spark: SparkSession, d: str) -> DataFrame:
     p = cloud(spark, d)
     means = C.by_cell(p, 50, "psid").agg((F.sum("zi") / F.count("zi")).alias("m"))
-    odd = means.groupBy("cx", "cy").agg(one.alias("n_sources"), (F.max("m") - F.min("m")).alias("gap"), F.min("m").alias("low")).filter("n_sources >= 2 and gap > 20")
+    odd = means.groupBy("cx", "cy").agg(one().alias("n_sources"), (F.max("m") - F.min("m")).alias("gap"), F.min("m").alias("low")).filter("n_sources >= 2 and gap > 20")
     return p.withColumns({"cx": C.cell("xi", 50), "cy": C.cell("yi", 50)}).join(odd, ["cx", "cy"]).groupBy("cx", "cy", "n_sources", F.round("gap", 6).alias("gap")).agg(F.count_if(F.col("zi") > F.col("low") + 12).alias("flagged"))
 
 
@@ -113,14 +115,14 @@ H = FLOOR.format(s=200) + ", h AS (SELECT p.*, fl.cx, fl.cy, zi - floor AS h FRO
   count_if(cls = 2)::DOUBLE / 400 AS ground_per_m2 FROM h GROUP BY 1, 2""")
 def scan_inventory(spark: SparkSession, d: str) -> DataFrame:
     h = C.above_floor(cloud(spark, d), 200)
-    frac = lambda c: F.round(F.count_if(c) / one, 6)
-    return h.groupBy("cx", "cy").agg(one.alias("returns"), F.round(F.percentile("h", 0.9), 3).alias("canopy_p90"), frac(F.col("h") > 200).alias("frac_over_2m"), frac((F.col("h") >= 15) & (F.col("h") < 35)).alias("frac_band"), F.array_join(F.sort_array(F.collect_set("psid")).cast("array<string>"), ",").alias("strips"), F.count_distinct("psid").alias("n_strips"), (F.count_if(F.col("cls") == 2) / F.lit(400.0)).alias("ground_per_m2"))
+    frac = lambda c: F.round(F.count_if(c) / one(), 6)
+    return h.groupBy("cx", "cy").agg(one().alias("returns"), F.round(F.percentile("h", 0.9), 3).alias("canopy_p90"), frac(F.col("h") > 200).alias("frac_over_2m"), frac((F.col("h") >= 15) & (F.col("h") < 35)).alias("frac_band"), F.array_join(F.sort_array(F.collect_set("psid")).cast("array<string>"), ",").alias("strips"), F.count_distinct("psid").alias("n_strips"), (F.count_if(F.col("cls") == 2) / F.lit(400.0)).alias("ground_per_m2"))
 
 
 @query(P + """, s AS (SELECT xi // 200 AS cx, yi // 200 AS cy, psid, count(*) AS n, min(angle) AS lo, max(angle) AS hi FROM p GROUP BY 1, 2, 3),
 t AS (SELECT *, n / sum(n) OVER (PARTITION BY cx, cy) AS share FROM s) SELECT cx, cy, psid, n, round(share, 6) AS share, lo AS angle_min, hi AS angle_max FROM t WHERE share >= 0.05""")
 def strip_share(spark: SparkSession, d: str) -> DataFrame:
-    s = C.by_cell(cloud(spark, d), 200, "psid").agg(one.alias("n"), F.min("angle").alias("angle_min"), F.max("angle").alias("angle_max"))
+    s = C.by_cell(cloud(spark, d), 200, "psid").agg(one().alias("n"), F.min("angle").alias("angle_min"), F.max("angle").alias("angle_max"))
     s = s.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("cx", "cy"))).filter("share >= 0.05")
     return s.select("cx", "cy", "psid", "n", F.round("share", 6).alias("share"), "angle_min", "angle_max")
 
@@ -134,13 +136,13 @@ def _band_sql(col: str) -> str:
 
 @query(H + f" SELECT cx, cy, {_band_sql('h')} AS band, count(*) AS n FROM h GROUP BY ALL")
 def height_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return C.above_floor(cloud(spark, d), 200).groupBy("cx", "cy", C.bands(F.col("h"), EDGES).alias("band")).agg(one.alias("n"))
+    return C.above_floor(cloud(spark, d), 200).groupBy("cx", "cy", C.bands(F.col("h"), EDGES).alias("band")).agg(one().alias("n"))
 
 
 @query(H + " SELECT psid, count(*) AS returns, round(count_if(h >= 15 AND h < 20) / count(*), 6) AS band_015_020, round(count_if(h >= 20 AND h < 35) / count(*), 6) AS band_020_035, round(count_if(h >= 35 AND h < 100) / count(*), 6) AS band_035_100, round(quantile_cont(h, 0.9), 3) AS p90 FROM h GROUP BY psid")
 def band_fractions_by_strip(spark: SparkSession, d: str) -> DataFrame:
-    frac = lambda lo, hi: F.round(F.count_if((F.col("h") >= lo) & (F.col("h") < hi)) / one, 6).alias(f"band_{lo:03d}_{hi:03d}")
-    return C.above_floor(cloud(spark, d), 200).groupBy("psid").agg(one.alias("returns"), frac(15, 20), frac(20, 35), frac(35, 100), F.round(F.percentile("h", 0.9), 3).alias("p90"))
+    frac = lambda lo, hi: F.round(F.count_if((F.col("h") >= lo) & (F.col("h") < hi)) / one(), 6).alias(f"band_{lo:03d}_{hi:03d}")
+    return C.above_floor(cloud(spark, d), 200).groupBy("psid").agg(one().alias("returns"), frac(15, 20), frac(20, 35), frac(35, 100), F.round(F.percentile("h", 0.9), 3).alias("p90"))
 
 
 THRESHOLDS = [5, 10, 15, 20, 30, 50, 100, 200]
@@ -149,7 +151,7 @@ THRESHOLDS = [5, 10, 15, 20, 30, 50, 100, 200]
 @query(H + f" SELECT t AS threshold, count_if(h > t)::BIGINT AS removed, round(count_if(h > t) / count(*), 8) AS share FROM h, (SELECT unnest({THRESHOLDS}) AS t) GROUP BY t")
 def removal_cost_curve(spark: SparkSession, d: str) -> DataFrame:
     """One pass over the points; the thresholds are unfolded from the single row of counts."""
-    row = C.above_floor(cloud(spark, d), 200).agg(one.alias("n"), *[F.count_if(F.col("h") > t).alias(f"t{t}") for t in THRESHOLDS])
+    row = C.above_floor(cloud(spark, d), 200).agg(one().alias("n"), *[F.count_if(F.col("h") > t).alias(f"t{t}") for t in THRESHOLDS])
     each = row.select("n", F.explode(F.array(*[F.struct(F.lit(t).cast("bigint").alias("threshold"), F.col(f"t{t}").alias("removed")) for t in THRESHOLDS])).alias("x"))
     return each.select("x.threshold", "x.removed", F.round(F.col("x.removed") / F.col("n"), 8).alias("share"))
 
@@ -173,7 +175,7 @@ def class_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
 def time_bin_fraction(spark: SparkSession, d: str) -> DataFrame:
     p = cloud(spark, d)
     ends = p.agg(F.min("gps").alias("lo"), F.max("gps").alias("hi"))  # a single row
-    return p.join(F.broadcast(ends)).groupBy(F.expr("least((gps - lo) * 40 div (hi - lo), 39)").alias("slice")).agg(one.alias("n"), F.round(F.count_if(F.col("cls") == 8) / one, 8).alias("share_8"))
+    return p.join(F.broadcast(ends)).groupBy(F.expr("least((gps - lo) * 40 div (hi - lo), 39)").alias("slice")).agg(one().alias("n"), F.round(F.count_if(F.col("cls") == 8) / one(), 8).alias("share_8"))
 
 
 @query(P + ", s AS (SELECT xi, yi, zi, max(cls) AS source FROM p WHERE psid <= 4 GROUP BY ALL) SELECT p.cls::BIGINT AS cls, coalesce(s.source, -1)::BIGINT AS source, count(*) AS n FROM p LEFT JOIN s ON p.xi = s.xi AND p.yi = s.yi AND p.zi = s.zi GROUP BY 1, 2")
@@ -181,7 +183,7 @@ def provenance_crosstab(spark: SparkSession, d: str) -> DataFrame:
     """Classes against those of the source returns at the same place; -1 where there is none."""
     p = cloud(spark, d)
     s = p.filter("psid <= 4").groupBy("xi", "yi", "zi").agg(F.max("cls").alias("source"))
-    return p.join(s, ["xi", "yi", "zi"], "left").groupBy(N("cls").alias("cls"), F.coalesce("source", F.lit(-1)).cast("bigint").alias("source")).agg(one.alias("n"))
+    return p.join(s, ["xi", "yi", "zi"], "left").groupBy(N("cls").alias("cls"), F.coalesce("source", F.lit(-1)).cast("bigint").alias("source")).agg(one().alias("n"))
 
 
 @query(H + """ SELECT coalesce(cls::BIGINT, 0) AS cls, count(*) AS n, round(quantile_cont(h, 0.25), 4) AS q1, round(median(h), 4) AS q2, round(quantile_cont(h, 0.75), 4) AS q3,
@@ -189,8 +191,8 @@ def provenance_crosstab(spark: SparkSession, d: str) -> DataFrame:
 def residual_summary_by_class(spark: SparkSession, d: str) -> DataFrame:
     """Each class and, as class 0, all together, by grouping sets."""
     h = C.above_floor(cloud(spark, d), 200)
-    within = lambda t: F.round(F.count_if(F.abs("h") <= t) / one, 8).alias(f"within_{t}")
-    return h.rollup("cls").agg(one.alias("n"), F.percentile("h", [0.25, 0.5, 0.75]).alias("q"), within(2), within(5), within(25)).select(F.coalesce(N("cls"), F.lit(0).cast("bigint")).alias("cls"), "n", *[F.round(F.col("q")[i], 4).alias(f"q{i + 1}") for i in range(3)], "within_2", "within_5", "within_25")
+    within = lambda t: F.round(F.count_if(F.abs("h") <= t) / one(), 8).alias(f"within_{t}")
+    return h.rollup("cls").agg(one().alias("n"), F.percentile("h", [0.25, 0.5, 0.75]).alias("q"), within(2), within(5), within(25)).select(F.coalesce(N("cls"), F.lit(0).cast("bigint")).alias("cls"), "n", *[F.round(F.col("q")[i], 4).alias(f"q{i + 1}") for i in range(3)], "within_2", "within_5", "within_25")
 
 
 STRIPS = ", st AS (SELECT xi // 200 AS cx, yi // 200 AS cy, psid, count(*) AS n, median(zi) AS m FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 3), ss AS (SELECT cx, cy, count(*) AS n_strips, max(m) - min(m) AS spread FROM st GROUP BY 1, 2 HAVING count(*) >= 2)"
@@ -205,15 +207,15 @@ def strip_spread(spark: SparkSession, d: str) -> DataFrame:
 SELECT count(*) AS cells, round(regr_slope(spread, band), 4) AS slope, round(corr(spread, band), 6) AS r FROM ss JOIN b USING (cx, cy)""")
 def regression_contrast(spark: SparkSession, d: str) -> DataFrame:
     p = cloud(spark, d)
-    band = C.above_floor(p, 200).groupBy("cx", "cy").agg((F.count_if((F.col("h") >= 15) & (F.col("h") < 35)) / one).alias("band"))
+    band = C.above_floor(p, 200).groupBy("cx", "cy").agg((F.count_if((F.col("h") >= 15) & (F.col("h") < 35)) / one()).alias("band"))
     both = C.strip_medians(p, 200).join(band, ["cx", "cy"])
-    return both.agg(one.alias("cells"), F.round(F.regr_slope("spread", "band"), 4).alias("slope"), F.round(F.corr("spread", "band"), 6).alias("r"))
+    return both.agg(one().alias("cells"), F.round(F.regr_slope("spread", "band"), 4).alias("slope"), F.round(F.corr("spread", "band"), 6).alias("r"))
 
 
 @query(P + ", b AS (SELECT zi // 25 AS bin, count(*) AS n FROM p GROUP BY 1), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM b) SELECT q, min(bin) * 25 AS z FROM c, (SELECT unnest([0.02::DOUBLE, 0.5, 0.98]) AS q) WHERE upto >= q * total GROUP BY q")
 def hist_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles from a histogram, which tiles can add up: 25 cm bins and a running sum over bins."""
-    bins = cloud(spark, d).groupBy(F.expr("zi div 25").alias("bin")).agg(one.alias("n"))
+    bins = cloud(spark, d).groupBy(F.expr("zi div 25").alias("bin")).agg(one().alias("n"))
     w = Window.orderBy("bin")
     c = bins.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     return c.withColumn("q", F.explode(F.array(*[F.lit(q) for q in (0.02, 0.5, 0.98)]))).filter("upto >= q * total").groupBy("q").agg((F.min("bin") * 25).alias("z"))
@@ -260,20 +262,20 @@ def filter_divergence(spark: SparkSession, d: str) -> DataFrame:
 @query(H + """, i AS (SELECT cx, cy, count(*) AS returns, count(DISTINCT psid) AS strips, quantile_cont(h, 0.9) AS p90, count_if(h > 200)::DOUBLE / count(*) AS over2 FROM h GROUP BY 1, 2)
 SELECT least(strips, 3)::BIGINT AS strips, count(*) AS cells, count_if(p90 > 800)::BIGINT AS tall, count_if(over2 > 0.35)::BIGINT AS wooded, sum(returns)::BIGINT AS returns FROM i GROUP BY 1""")
 def inventory_counts(spark: SparkSession, d: str) -> DataFrame:
-    i = C.above_floor(cloud(spark, d), 200).groupBy("cx", "cy").agg(one.alias("returns"), F.count_distinct("psid").alias("strips"), F.percentile("h", 0.9).alias("p90"), (F.count_if(F.col("h") > 200) / one).alias("over2"))
-    return i.groupBy(F.least("strips", F.lit(3)).alias("strips")).agg(one.alias("cells"), F.count_if(F.col("p90") > 800).alias("tall"), F.count_if(F.col("over2") > 0.35).alias("wooded"), F.sum("returns").alias("returns"))
+    i = C.above_floor(cloud(spark, d), 200).groupBy("cx", "cy").agg(one().alias("returns"), F.count_distinct("psid").alias("strips"), F.percentile("h", 0.9).alias("p90"), (F.count_if(F.col("h") > 200) / one()).alias("over2"))
+    return i.groupBy(F.least("strips", F.lit(3)).alias("strips")).agg(one().alias("cells"), F.count_if(F.col("p90") > 800).alias("tall"), F.count_if(F.col("over2") > 0.35).alias("wooded"), F.sum("returns").alias("returns"))
 
 
 @query(H + ", i AS (SELECT cx, cy, count_if(h > 200)::DOUBLE / count(*) AS v FROM h GROUP BY 1, 2) SELECT round(median(v), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90, round(max(v), 6) AS max, count(*) AS cells FROM i")
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:
-    v = C.above_floor(cloud(spark, d), 200).groupBy("cx", "cy").agg((F.count_if(F.col("h") > 200) / one).alias("v"))
-    return v.agg(F.round(F.median("v"), 6).alias("median"), F.round(F.percentile("v", 0.9), 6).alias("p90"), F.round(F.max("v"), 6).alias("max"), one.alias("cells"))
+    v = C.above_floor(cloud(spark, d), 200).groupBy("cx", "cy").agg((F.count_if(F.col("h") > 200) / one()).alias("v"))
+    return v.agg(F.round(F.median("v"), 6).alias("median"), F.round(F.percentile("v", 0.9), 6).alias("p90"), F.round(F.max("v"), 6).alias("max"), one().alias("cells"))
 
 
 @query(P + " SELECT min(zi) AS z_min, max(zi) AS z_max, quantile_cont(zi, 0.02) AS p2, quantile_cont(zi, 0.98) AS p98, quantile_cont(zi, 0.98) - quantile_cont(zi, 0.02) AS relief, count(*) AS n, round(count_if(nret > 1) / count(*), 8) AS multi_return, count(DISTINCT gps // 86400) AS days FROM p")
 def pool_traits(spark: SparkSession, d: str) -> DataFrame:
     q = F.percentile("zi", [0.02, 0.98])
-    return cloud(spark, d).agg(F.min("zi").alias("z_min"), F.max("zi").alias("z_max"), q.alias("q"), one.alias("n"), F.round(F.count_if(F.col("nret") > 1) / one, 8).alias("multi_return"), F.count_distinct(F.expr("gps div 86400")).alias("days")).select("z_min", "z_max", F.col("q")[0].alias("p2"), F.col("q")[1].alias("p98"), (F.col("q")[1] - F.col("q")[0]).alias("relief"), "n", "multi_return", "days")
+    return cloud(spark, d).agg(F.min("zi").alias("z_min"), F.max("zi").alias("z_max"), q.alias("q"), one().alias("n"), F.round(F.count_if(F.col("nret") > 1) / one(), 8).alias("multi_return"), F.count_distinct(F.expr("gps div 86400")).alias("days")).select("z_min", "z_max", F.col("q")[0].alias("p2"), F.col("q")[1].alias("p98"), (F.col("q")[1] - F.col("q")[0]).alias("relief"), "n", "multi_return", "days")
 
 
 @query(P + """, l AS (SELECT xi // 200 AS cx, yi // 200 AS cy, min(zi) AS lo, max(zi) AS hi, quantile_cont(zi, 0.02) AS p2, quantile_cont(zi, 0.98) AS p98 FROM p GROUP BY 1, 2)
@@ -287,7 +289,7 @@ def layer_endpoints(spark: SparkSession, d: str) -> DataFrame:
 def crop_classes(spark: SparkSession, d: str) -> DataFrame:
     """A box, a height cut and a set of classes; all of them are filters on the scan."""
     p = cloud(spark, d).filter(F.col("cls").isin(2, 8) & F.col("xi").between(100, 900) & F.col("yi").between(50, 800) & F.col("zi").between(-50, 60000))
-    return p.groupBy(N("cls").alias("cls")).agg(one.alias("n"))
+    return p.groupBy(N("cls").alias("cls")).agg(one().alias("n"))
 
 
 @query(H + " SELECT CASE WHEN h > -20 AND h < 20 AND cls <> 2 THEN 8 WHEN h > 200 AND cls = 2 THEN 1 ELSE cls END::BIGINT AS cls, count(*) AS n, sum(zi)::BIGINT AS z FROM h GROUP BY 1")
@@ -295,13 +297,13 @@ def reclassify(spark: SparkSession, d: str) -> DataFrame:
     """Near the floor becomes 8, high ground is demoted to 1, nothing is deleted."""
     h, k = F.col("h"), F.col("cls")
     new = F.when((h > -20) & (h < 20) & (k != 2), 8).when((h > 200) & (k == 2), 1).otherwise(k)
-    return C.above_floor(cloud(spark, d), 200).groupBy(new.cast("bigint").alias("cls")).agg(one.alias("n"), F.sum("zi").alias("z"))
+    return C.above_floor(cloud(spark, d), 200).groupBy(new.cast("bigint").alias("cls")).agg(one().alias("n"), F.sum("zi").alias("z"))
 
 
 @query(H + """, i AS (SELECT cx, cy, quantile_cont(h, 0.9) AS p90, count_if(h > 200)::DOUBLE / count(*) AS over2, count_if(h >= 15 AND h < 35)::DOUBLE / count(*) AS band, count(DISTINCT psid) AS strips FROM h GROUP BY 1, 2)
 SELECT cx, cy, concat_ws('|', CASE WHEN p90 > 800 THEN 'tall' END, CASE WHEN over2 > 0.35 THEN 'wooded' END, CASE WHEN band > 0.03 THEN 'understory' END, CASE WHEN strips >= 3 THEN 'overlap' END) AS labels FROM i""")
 def suggests_labels(spark: SparkSession, d: str) -> DataFrame:
-    i = C.above_floor(cloud(spark, d), 200).groupBy("cx", "cy").agg(F.percentile("h", 0.9).alias("p90"), (F.count_if(F.col("h") > 200) / one).alias("over2"), (F.count_if((F.col("h") >= 15) & (F.col("h") < 35)) / one).alias("band"), F.count_distinct("psid").alias("strips"))
+    i = C.above_floor(cloud(spark, d), 200).groupBy("cx", "cy").agg(F.percentile("h", 0.9).alias("p90"), (F.count_if(F.col("h") > 200) / one()).alias("over2"), (F.count_if((F.col("h") >= 15) & (F.col("h") < 35)) / one()).alias("band"), F.count_distinct("psid").alias("strips"))
     tag = lambda c, name: F.when(F.expr(c), name)
     return i.select("cx", "cy", F.concat_ws("|", tag("p90 > 800", "tall"), tag("over2 > 0.35", "wooded"), tag("band > 0.03", "understory"), tag("strips >= 3", "overlap")).alias("labels"))
 
@@ -309,7 +311,7 @@ def suggests_labels(spark: SparkSession, d: str) -> DataFrame:
 @query(P + ", c AS (SELECT psid, xi // 200 AS cx, yi // 200 AS cy, count(*) AS n, stddev_pop(zi) AS sd FROM p GROUP BY 1, 2, 3) SELECT psid, arg_min((cx, cy), (sd, cx, cy)).cx AS cx, arg_min((cx, cy), (sd, cx, cy)).cy AS cy, round(min(sd), 4) AS sd FROM (SELECT psid, cx, cy, round(sd, 6) AS sd FROM c WHERE n >= 2) GROUP BY psid".replace("(cx, cy)", "{'cx': cx, 'cy': cy}"))
 def best_per_group(spark: SparkSession, d: str) -> DataFrame:
     """The flattest cell of each strip."""
-    c = C.by_cell(cloud(spark, d), 200, "psid").agg(one.alias("n"), F.round(F.stddev_pop("zi"), 6).alias("sd")).filter("n >= 2")
+    c = C.by_cell(cloud(spark, d), 200, "psid").agg(one().alias("n"), F.round(F.stddev_pop("zi"), 6).alias("sd")).filter("n >= 2")
     best = c.groupBy("psid").agg(F.min(F.struct("sd", "cx", "cy")).alias("b"))
     return best.select("psid", "b.cx", "b.cy", F.round("b.sd", 4).alias("sd"))
 
@@ -319,4 +321,4 @@ def parse_names(spark: SparkSession, d: str) -> DataFrame:
     """The fields of a name by pattern, as file names are parsed."""
     part = table(spark, d, "part")
     pick = lambda c, p: F.regexp_extract(c, p, 1)
-    return part.groupBy(pick("p_type", r"^(\w+) (\w+) (\w+)$").alias("region"), pick("p_type", r"(\w+)$").alias("campaign"), pick("p_brand", r"(\d+)").alias("id")).agg(one.alias("n"))
+    return part.groupBy(pick("p_type", r"^(\w+) (\w+) (\w+)$").alias("region"), pick("p_type", r"(\w+)$").alias("campaign"), pick("p_brand", r"(\d+)").alias("id")).agg(one().alias("n"))

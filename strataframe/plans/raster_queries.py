@@ -9,7 +9,9 @@ from ..operators import rasters as X
 from .binding import G, P, R, cloud, raster
 from .registry import query
 
-one = F.count(F.lit(1))
+
+def one():
+    return F.count(F.lit(1))
 
 
 def surface(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
@@ -53,7 +55,7 @@ def slope_band_stats(spark: SparkSession, d: str) -> DataFrame:
     r, h, w = surface(spark, d)
     s = X.slope(X.dense(r, h, w), h, w, 200.0).filter("tan is not null")
     t = lambda a: F.col("tan") < F.tan(F.radians(F.lit(float(a))))
-    return s.groupBy(F.when(t(5), "flat").when(t(20), "moderate").when(t(30), "steep").otherwise("very steep").alias("band")).agg(one.alias("cells"), F.sum("n").alias("points"), F.round(F.avg("z"), 4).alias("z"))
+    return s.groupBy(F.when(t(5), "flat").when(t(20), "moderate").when(t(30), "steep").otherwise("very steep").alias("band")).agg(one().alias("cells"), F.sum("n").alias("points"), F.round(F.avg("z"), 4).alias("z"))
 
 
 @query(D + """, l AS (SELECT row, col, z, CASE WHEN col = 0 THEN z ELSE lag(z) OVER x END + CASE WHEN col = w THEN z ELSE lead(z) OVER x END + CASE WHEN row = 0 THEN z ELSE lag(z) OVER y END + CASE WHEN row = h THEN z ELSE lead(z) OVER y END - 4 * z AS lap
@@ -72,7 +74,7 @@ def box_roughness(spark: SparkSession, d: str) -> DataFrame:
     r, h, w = surface(spark, d)
     b = X.box(X.dense(r, h, w), 2).filter("z is not null")
     off = F.abs(F.col("z") - F.col("box_mean"))
-    return b.agg(one.alias("cells"), F.sum("box_n").alias("neighbours"), F.round(F.avg(off), 4).alias("roughness"), F.round(F.median(off), 4).alias("median"))
+    return b.agg(one().alias("cells"), F.sum("box_n").alias("neighbours"), F.round(F.avg(off), 4).alias("roughness"), F.round(F.median(off), 4).alias("median"))
 
 
 @query(R + ", b AS (SELECT a.row, a.col, a.z, median(b.z) AS m FROM r a JOIN r b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY 1, 2, 3) SELECT count(*) AS cells, count_if(abs(z - m) > 30)::BIGINT AS pits, round(count_if(abs(z - m) > 30) / count(*), 8) AS share FROM b")
@@ -80,7 +82,7 @@ def median_pits(spark: SparkSession, d: str) -> DataFrame:
     r = raster(cloud(spark, d))
     b = X.median_filter(r, 2).join(r, ["row", "col"])
     pit = F.count_if(F.abs(F.col("z") - F.col("median")) > 30)
-    return b.agg(one.alias("cells"), pit.alias("pits"), F.round(pit / one, 8).alias("share"))
+    return b.agg(one().alias("cells"), pit.alias("pits"), F.round(pit / one(), 8).alias("share"))
 
 
 SPAN = R + ", sp AS (SELECT row, min(col) AS lo, max(col) AS hi, count(*) AS k FROM r GROUP BY row)"
@@ -104,7 +106,7 @@ def row_span_footprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(P + ", r AS (SELECT DISTINCT yi // 5 AS row, xi // 5 AS col FROM p), i AS (SELECT row, col, col - row_number() OVER (PARTITION BY row ORDER BY col) AS k FROM r), u AS (SELECT row, k, min(col) AS lo, max(col) AS hi FROM i GROUP BY 1, 2) SELECT row, count(*) AS runs, max(hi - lo + 1) AS longest FROM u GROUP BY row")
 def runs_per_row(spark: SparkSession, d: str) -> DataFrame:
-    return X.runs(raster(cloud(spark, d), 5)).groupBy("row").agg(one.alias("runs"), F.max(F.col("hi") - F.col("lo") + 1).alias("longest"))
+    return X.runs(raster(cloud(spark, d), 5)).groupBy("row").agg(one().alias("runs"), F.max(F.col("hi") - F.col("lo") + 1).alias("longest"))
 
 
 @query(P + """, r AS (SELECT DISTINCT yi // 10 AS row, xi // 10 AS col FROM p), s AS (SELECT max(row) AS h, max(col) AS w FROM r),
@@ -125,7 +127,7 @@ def support_distance(spark: SparkSession, d: str) -> DataFrame:
     """Cells by their squared distance to data, within three cells."""
     r = raster(cloud(spark, d), 5)
     h, w = r.agg(F.max("row"), F.max("col")).first()
-    return X.near(r, 3, h + 1, w + 1).groupBy(F.col("d2").cast("bigint").alias("d2")).agg(one.alias("cells"))
+    return X.near(r, 3, h + 1, w + 1).groupBy(F.col("d2").cast("bigint").alias("d2")).agg(one().alias("cells"))
 
 
 @query(GRAD + """, k AS (SELECT col, row, (tan > tan(radians(20)))::INT AS steep FROM sl WHERE tan IS NOT NULL), win AS (SELECT unnest(range(greatest(row // 10 - 1, 0), row // 10 + 1)) AS wr, col, steep FROM k),
@@ -136,7 +138,7 @@ def window_scan_top8(spark: SparkSession, d: str) -> DataFrame:
     k = X.slope(X.dense(r, h, w), h, w, 200.0).filter("tan is not null").withColumn("steep", (F.col("tan") > F.tan(F.radians(F.lit(20.0)))).cast("int"))
     seq = lambda c: F.explode(F.expr(f"sequence(greatest({c} div 10 - 1, 0), {c} div 10)"))
     k = k.select(seq("row").alias("wr"), "col", "steep").select("wr", seq("col").alias("wc"), "steep")
-    return k.groupBy("wr", "wc").agg(one.alias("cells"), F.round(F.avg("steep"), 8).alias("steep")).filter("cells >= 200").orderBy(F.desc("steep"), "wr", "wc").limit(8)
+    return k.groupBy("wr", "wc").agg(one().alias("cells"), F.round(F.avg("steep"), 8).alias("steep")).filter("cells >= 200").orderBy(F.desc("steep"), "wr", "wc").limit(8)
 
 
 @query(R + """, m AS (SELECT avg(z) AS mu, avg(z::DOUBLE * z) - avg(z) * avg(z) AS v, count(*) AS n FROM r), q AS (SELECT a.z AS x, b.z AS y FROM r a JOIN r b ON (b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col = a.col))
@@ -146,7 +148,7 @@ def morans_i(spark: SparkSession, d: str) -> DataFrame:
     r = raster(cloud(spark, d))
     zd = F.col("z").cast("double")
     m = r.agg((F.avg("z")).alias("mu"), (F.avg(zd * F.col("z")) - F.avg("z") * F.avg("z")).alias("v"))  # a single row
-    q = X.lag_pairs(r, [(0, -1), (-1, 0)]).agg(one.alias("pairs"), F.sum(zd * F.col("z2")).alias("xy"), F.sum(F.col("z") + F.col("z2")).alias("s"))
+    q = X.lag_pairs(r, [(0, -1), (-1, 0)]).agg(one().alias("pairs"), F.sum(zd * F.col("z2")).alias("xy"), F.sum(F.col("z") + F.col("z2")).alias("s"))
     mu = F.col("mu")
     return q.join(F.broadcast(m)).select("pairs", F.round((F.col("xy") - F.col("s") * mu + F.col("pairs") * mu * mu) / F.col("pairs") / F.col("v"), 4).alias("moran"))
 
@@ -157,7 +159,7 @@ def lag_semivariance(spark: SparkSession, d: str) -> DataFrame:
     offsets = [(-a, -b, a * a + b * b) for a in range(6) for b in range(-5, 6) if (a > 0 or b > 0) and a * a + b * b <= 25]
     q = X.lag_pairs(raster(cloud(spark, d)), offsets, "lag2")
     gap = F.col("z") - F.col("z2")
-    return q.groupBy(F.col("lag2").cast("bigint").alias("lag2")).agg(one.alias("pairs"), F.round(F.sum(gap * gap).cast("double") / (2 * one), 6).alias("semivariance"))
+    return q.groupBy(F.col("lag2").cast("bigint").alias("lag2")).agg(one().alias("pairs"), F.round(F.sum(gap * gap).cast("double") / (2 * one()), 6).alias("semivariance"))
 
 
 @query(R + ", e AS (SELECT row, col, CASE WHEN z % 50 = 0 THEN 0 ELSE z END AS z FROM r), s AS (SELECT greatest(max(abs(z)), 1.0) * 1e-7 AS step FROM e) SELECT count(*) AS cells, count_if(e.z = 0)::BIGINT AS lifted, round(min(CASE WHEN e.z = 0 THEN step ELSE e.z END), 8)::DOUBLE AS least FROM e, s")
@@ -165,7 +167,7 @@ def enforce_mask(spark: SparkSession, d: str) -> DataFrame:
     """Every fiftieth height is zero before; none is after, as the check confirms."""
     r = raster(cloud(spark, d)).withColumn("z", F.when(F.col("z") % 50 == 0, 0).otherwise(F.col("z")).cast("double"))
     done = X.verified(X.enforced(r.withColumn("_was", F.col("z") == 0)))
-    return done.agg(one.alias("cells"), F.count_if("_was").alias("lifted"), F.round(F.min("z"), 8).alias("least"))
+    return done.agg(one().alias("cells"), F.count_if("_was").alias("lifted"), F.round(F.min("z"), 8).alias("least"))
 
 
 @query(R + " SELECT row // 4 AS row, col // 4 AS col, sum(z)::DOUBLE / count(*) AS z, count(*) AS n FROM r GROUP BY 1, 2")
@@ -208,16 +210,16 @@ def boundary_steps(spark: SparkSession, d: str) -> DataFrame:
 @query(SPAN + " SELECT hi % 8 AS phase, count(*) AS rows FROM sp GROUP BY 1")
 def boundary_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Whether the boundary falls on the pitch of the solver's blocks more often than by chance."""
-    return X.spans(raster(cloud(spark, d))).groupBy(F.pmod("hi", F.lit(8)).alias("phase")).agg(one.alias("rows"))
+    return X.spans(raster(cloud(spark, d))).groupBy(F.pmod("hi", F.lit(8)).alias("phase")).agg(one().alias("rows"))
 
 
 @query(P + """, r AS (SELECT DISTINCT yi // 5 AS row, xi // 5 AS col FROM p), e AS (SELECT r.row, r.col, (SELECT 1) AS u, count(q.row) AS nb FROM r LEFT JOIN r q ON abs(q.row - r.row) + abs(q.col - r.col) = 1 AND q.row BETWEEN r.row - 1 AND r.row + 1 AND q.col BETWEEN r.col - 1 AND r.col + 1 GROUP BY 1, 2)
 SELECT count(*) AS area, sum(4 - nb)::BIGINT AS perimeter, round(sum(4 - nb) / (2 * sqrt(pi() * count(*))), 6) AS raggedness FROM e""".replace("LEFT JOIN r q ON abs(q.row - r.row) + abs(q.col - r.col) = 1 AND q.row BETWEEN r.row - 1 AND r.row + 1 AND q.col BETWEEN r.col - 1 AND r.col + 1", "CROSS JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) o(dr, dc) LEFT JOIN r q ON q.row = r.row + dr AND q.col = r.col + dc"))
 def edge_shape(spark: SparkSession, d: str) -> DataFrame:
     r = raster(cloud(spark, d), 5).select("row", "col")
-    nb = X.shifted(r, [(0, 1), (1, 0), (0, -1), (-1, 0)]).groupBy("row", "col").agg(one.alias("nb"))
+    nb = X.shifted(r, [(0, 1), (1, 0), (0, -1), (-1, 0)]).groupBy("row", "col").agg(one().alias("nb"))
     e = r.join(nb, ["row", "col"], "left").withColumn("out", 4 - F.coalesce("nb", F.lit(0)))
-    return e.agg(one.alias("area"), F.sum("out").alias("perimeter"), F.round(F.sum("out") / (2 * F.sqrt(F.pi() * one)), 6).alias("raggedness"))
+    return e.agg(one().alias("area"), F.sum("out").alias("perimeter"), F.round(F.sum("out") / (2 * F.sqrt(F.pi() * one())), 6).alias("raggedness"))
 
 
 CMP = G + ", cp AS (SELECT r.row, r.col, r.z AS za, g.z AS zb FROM r JOIN g ON r.row = g.row AND r.col = g.col)"
@@ -229,9 +231,9 @@ def raster_compare_score(spark: SparkSession, d: str) -> DataFrame:
     p = cloud(spark, d)
     a, b = raster(p), raster(p.filter("ground"))
     gap = F.col("za") - F.col("zb")
-    rmse = F.sqrt(F.sum(gap * gap).cast("double") / one)
-    cover = a.agg(one.alias("coverage_candidate")).join(F.broadcast(b.agg(one.alias("coverage_reference"))))
-    score = X.compared(a, b).agg(one.alias("cells_compared"), F.round(rmse, 6).alias("rmse"), F.round(F.sum(gap).cast("double") / one, 6).alias("bias"), F.round(F.sum(F.abs(gap)).cast("double") / one, 6).alias("mae"), F.round(rmse / (F.percentile("zb", 0.98) - F.percentile("zb", 0.02)), 8).alias("nrmse"))
+    rmse = F.sqrt(F.sum(gap * gap).cast("double") / one())
+    cover = a.agg(one().alias("coverage_candidate")).join(F.broadcast(b.agg(one().alias("coverage_reference"))))
+    score = X.compared(a, b).agg(one().alias("cells_compared"), F.round(rmse, 6).alias("rmse"), F.round(F.sum(gap).cast("double") / one(), 6).alias("bias"), F.round(F.sum(F.abs(gap)).cast("double") / one(), 6).alias("mae"), F.round(rmse / (F.percentile("zb", 0.98) - F.percentile("zb", 0.02)), 8).alias("nrmse"))
     return score.filter("cells_compared >= 100").join(F.broadcast(cover))
 
 
@@ -239,7 +241,7 @@ def raster_compare_score(spark: SparkSession, d: str) -> DataFrame:
 def raster_offset_compare(spark: SparkSession, d: str) -> DataFrame:
     """Two rasters on one lattice with different origins."""
     p = cloud(spark, d)
-    return X.compared(raster(p), raster(p.filter("ground")), -2, 1).agg(one.alias("cells"), F.sum(F.col("za") - F.col("zb")).alias("gap"))
+    return X.compared(raster(p), raster(p.filter("ground")), -2, 1).agg(one().alias("cells"), F.sum(F.col("za") - F.col("zb")).alias("gap"))
 
 
 @query(G + ", c AS (SELECT yi // 20 AS row, xi // 20 AS col, max(zi) AS z FROM p WHERE psid % 2 = 0 GROUP BY 1, 2) SELECT count(*) AS cells, sum(r.z)::BIGINT AS a, sum(g.z)::BIGINT AS b, sum(c.z)::BIGINT AS c FROM r JOIN g USING (row, col) JOIN c USING (row, col)")
@@ -248,7 +250,7 @@ def common_cells(spark: SparkSession, d: str) -> DataFrame:
     p = cloud(spark, d)
     a, b = raster(p).select("row", "col", F.col("z").alias("a")), raster(p.filter("ground")).select("row", "col", F.col("z").alias("b"))
     c = p.filter("psid % 2 = 0").groupBy(F.expr("yi div 20").alias("row"), F.expr("xi div 20").alias("col")).agg(F.max("zi").alias("c"))
-    return a.join(b, ["row", "col"]).join(c, ["row", "col"]).agg(one.alias("cells"), *[F.sum(x).alias(x) for x in "abc"])
+    return a.join(b, ["row", "col"]).join(c, ["row", "col"]).agg(one().alias("cells"), *[F.sum(x).alias(x) for x in "abc"])
 
 
 @query(G + " SELECT count(*) AS returns, count_if(p.zi < g.z - 5)::BIGINT AS below, round(count_if(p.zi < g.z - 5) / count(*), 8) AS share, median(CASE WHEN p.zi < g.z - 5 THEN g.z - p.zi END) AS median_depth, quantile_cont(CASE WHEN p.zi < g.z - 5 THEN g.z - p.zi END, 0.95) AS p95_depth FROM p JOIN g ON p.yi // 20 = g.row AND p.xi // 20 = g.col")
@@ -258,29 +260,29 @@ def returns_below(spark: SparkSession, d: str) -> DataFrame:
     s = p.withColumns({"row": F.expr("yi div 20"), "col": F.expr("xi div 20")}).join(g, ["row", "col"])
     low = F.col("zi") < F.col("z") - 5
     depth = F.when(low, F.col("z") - F.col("zi"))
-    return s.agg(one.alias("returns"), F.count_if(low).alias("below"), F.round(F.count_if(low) / one, 8).alias("share"), F.median(depth).alias("median_depth"), F.percentile(depth, 0.95).alias("p95_depth"))
+    return s.agg(one().alias("returns"), F.count_if(low).alias("below"), F.round(F.count_if(low) / one(), 8).alias("share"), F.median(depth).alias("median_depth"), F.percentile(depth, 0.95).alias("p95_depth"))
 
 
 @query(R + ", v AS (SELECT a.row, a.col, greatest(abs(e.z - a.z), abs(s.z - a.z)) AS step FROM r a JOIN r e ON e.row = a.row AND e.col = a.col + 1 JOIN r s ON s.row = a.row + 1 AND s.col = a.col) SELECT count(*) AS n, quantile_cont(step, 0.5) AS p50, quantile_cont(step, 0.9) AS p90, quantile_cont(step, 0.99) AS p99 FROM v")
 def sharpness(spark: SparkSession, d: str) -> DataFrame:
     """Height differences over one cell."""
     r = raster(cloud(spark, d))
-    q = X.lag_pairs(r, [(0, -1), (-1, 0)]).groupBy("row", "col").agg(F.max(F.abs(F.col("z2") - F.col("z"))).alias("step"), one.alias("k")).filter("k = 2")
-    return q.agg(one.alias("n"), F.percentile("step", [0.5, 0.9, 0.99]).alias("q")).select("n", *[F.col("q")[i].alias(f"p{k}") for i, k in enumerate((50, 90, 99))])
+    q = X.lag_pairs(r, [(0, -1), (-1, 0)]).groupBy("row", "col").agg(F.max(F.abs(F.col("z2") - F.col("z"))).alias("step"), one().alias("k")).filter("k = 2")
+    return q.agg(one().alias("n"), F.percentile("step", [0.5, 0.9, 0.99]).alias("q")).select("n", *[F.col("q")[i].alias(f"p{k}") for i, k in enumerate((50, 90, 99))])
 
 
 @query(G + " SELECT (SELECT count(*) FROM (SELECT row, col FROM r INTERSECT SELECT row, col FROM g)) AS both, (SELECT count(*) FROM (SELECT row, col FROM r UNION SELECT row, col FROM g)) AS either, (SELECT count(*) FROM (SELECT row, col FROM r EXCEPT SELECT row, col FROM g)) AS only_a")
 def mask_algebra(spark: SparkSession, d: str) -> DataFrame:
     p = cloud(spark, d)
     a, b = raster(p).select("row", "col"), raster(p.filter("ground")).select("row", "col")
-    n = lambda df, c: df.agg(one.alias(c))  # noqa: E731 - single rows
+    n = lambda df, c: df.agg(one().alias(c))  # noqa: E731 - single rows
     return n(a.intersect(b), "both").join(F.broadcast(n(a.union(b).distinct(), "either"))).join(F.broadcast(n(a.subtract(b), "only_a")))
 
 
 @query(R + ", t AS (SELECT row // 25 AS tr, col // 25 AS tc, min(row) AS r0, min(col) AS c0, max(row) AS r1, max(col) AS c1 FROM r GROUP BY 1, 2) SELECT min(r0) AS row, min(c0) AS col, max(r1) - min(r0) + 1 AS height, max(c1) - min(c0) + 1 AS width, count(*) AS tiles FROM t")
 def lattice_union(spark: SparkSession, d: str) -> DataFrame:
     t = raster(cloud(spark, d)).groupBy(F.expr("row div 25"), F.expr("col div 25")).agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
-    return t.agg(F.min("r0").alias("row"), F.min("c0").alias("col"), (F.max("r1") - F.min("r0") + 1).alias("height"), (F.max("c1") - F.min("c0") + 1).alias("width"), one.alias("tiles"))
+    return t.agg(F.min("r0").alias("row"), F.min("c0").alias("col"), (F.max("r1") - F.min("r0") + 1).alias("height"), (F.max("c1") - F.min("c0") + 1).alias("width"), one().alias("tiles"))
 
 
 KS = ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in X.kernel(1.0))
