@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import wordscan
+from . import bloom, wordscan
 from .common import forget, one_per_id, read, settle, travels
 
 travels(wordscan)
@@ -154,8 +154,12 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Texts of fewer than ``window`` words are kept. Repeated texts are emptied but for the first. Other columns are
     ignored. An empty table gives an empty result. Words are compared by 64-bit hashes of the windows."""
     own = one_per_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    at = repeated(own, window).groupBy("doc_id").agg(F.collect_list("p").alias("at"))
-    return own.join(at, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string")
+    at = settle(repeated(own, window).groupBy("doc_id").agg(F.collect_list("p").alias("at")), "places")
+    # Only texts that may lose words are moved to their places; the others are read where they are.
+    marked = bloom.probed(own, "doc_id", bloom.bloom(at, "doc_id"))
+    moved = marked.filter("_maybe").join(at, "doc_id", "left").select("doc_id", "text", "at")
+    rest = marked.filter("not _maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("at"))
+    return moved.unionByName(rest).mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
