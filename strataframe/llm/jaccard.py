@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordscan
+from .bloom import semi_join
 from .common import forget, one_per_id, read, settle, travels
 from .components import components
 
@@ -26,7 +27,7 @@ travels(wordscan)
 SHINGLE, PERCENT = 4, 85
 #: Share of the shingles (by hash) on which sets without partners are told apart before the rest is counted.
 TRIED = 0.2
-CELL_ROWS, CELL_COLS = 256, 2048
+CELL_ROWS, CELL_COLS = 128, 256
 
 
 def shingles(column: pa.Array, n: int, fold: bool = True):
@@ -161,7 +162,7 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, t
     owner = outline.select("s1", F.explode("some").alias("t")).groupBy("t").agg(F.min("s1").alias("s1"), F.max("s1").alias("_m")).filter("s1 = _m").groupBy("s1").agg(F.count(F.lit(1)).alias("_alone"))
     alive = one.join(owner, "s1", "left").filter(f"100 * (n - coalesce(_alone, 0)) >= {percent} * n").select(F.col("rep").alias("doc_id"), "n")
     alive = settle(alive, "alive")
-    sets = settle(own.join(alive, "doc_id").select("doc_id", "n", "text").mapInArrow(_whole(n), "doc_id long, n long, t array<long>"), "shingles")
+    sets = settle(semi_join(own, alive, "doc_id").join(alive, "doc_id").select("doc_id", "n", "text").mapInArrow(_whole(n), "doc_id long, n long, t array<long>"), "shingles")
 
     # The index: prefixes, rarest first, in blocks by shingle and size.
     each = sets.select("doc_id", "n", F.explode("t").alias("t"))
