@@ -23,7 +23,7 @@ travels(ngramlm)
 
 HELD_FOLDS = 5  # one in so many trusted documents sets the bounds
 QUANTILE = 0.002
-MARGIN = 1.5  # bounds lie so many times the distance from median to quantile away from the median
+MARGIN = 2.0  # bounds lie so many times the distance from median to quantile away from the median
 PRIOR_WORDS = 50
 LEAST_HELD = 100  # a language with fewer held-out documents uses the bounds of all
 
@@ -178,15 +178,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = settle(semi_join(own.select("doc_id", "text"), good.filter(~held), "doc_id"), "trusted")
     scored = settle(perplexities(own, trusted).join(own.select("doc_id", "lang"), "doc_id"), "scored")
 
-    told = scored.join(good.filter(held).select("doc_id", F.lit(True).alias("_held")), "doc_id", "left")
-    sure = told.filter("_held and n_words > 0").withColumn("_g", F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("lang").alias("lang")), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("lang"))))).select("n_words", "loss", "_g.all", "_g.lang")
+    told = scored.join(good.select("doc_id", held.alias("_held")), "doc_id", "left")
+    sure = told.filter("_held is not null and n_words > 0").withColumn("_g", F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("lang").alias("lang")), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("lang"))))).select("n_words", "loss", "_held", "_g.all", "_g.lang")
     sure = sure.filter("all or lang is not null")
-    means = sure.groupBy("all", "lang").agg((F.sum("loss") / F.sum("n_words")).alias("mean"), F.count(F.lit(1)).alias("k")).filter(F.col("all") | (F.col("k") >= LEAST_HELD))
+    means = sure.filter("_held").groupBy("all", "lang").agg((F.sum("loss") / F.sum("n_words")).alias("mean"), F.count(F.lit(1)).alias("k")).filter(F.col("all") | (F.col("k") >= LEAST_HELD))
     drawn = lambda mean: (F.col("loss") + PRIOR_WORDS * mean) / (F.col("n_words") + PRIOR_WORDS)
     key = means.select(F.col("all").alias("_all"), F.coalesce("lang", F.lit("")).alias("_lang"), "mean")
-    again = sure.join(key, (F.col("all") == F.col("_all")) & (F.coalesce("lang", F.lit("")) == F.col("_lang"))).select("all", "lang", "mean", drawn(F.col("mean")).alias("s"))
-    q = F.percentile_approx("s", [QUANTILE, 0.5, 1 - QUANTILE], 10000)
-    bounds = settle(again.groupBy("all", "lang", "mean").agg(q.alias("q")).select("all", "lang", "mean", (F.col("q")[1] - MARGIN * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[1] + MARGIN * (F.col("q")[2] - F.col("q")[1])).alias("hi")), "bounds")
+    again = sure.join(key, (F.col("all") == F.col("_all")) & (F.coalesce("lang", F.lit("")) == F.col("_lang"))).select("all", "lang", "mean", "_held", drawn(F.col("mean")).alias("s"))
+    # What the model was trained on has lower losses: it counts for the lower bound, not for the upper one.
+    low = F.percentile_approx("s", [QUANTILE, 0.5], 10000).alias("low")
+    high = F.percentile_approx(F.when(F.col("_held"), F.col("s")), [0.5, 1 - QUANTILE], 10000).alias("high")
+    beyond = lambda q, i: F.col(q)[1 - i] + MARGIN * (F.col(q)[i] - F.col(q)[1 - i])
+    bounds = settle(again.groupBy("all", "lang", "mean").agg(low, high).select("all", "lang", "mean", beyond("low", 0).alias("lo"), beyond("high", 1).alias("hi")), "bounds")
     by_lang = bounds.filter("not all").select("lang", "mean", "lo", "hi")
     rest = bounds.filter("all").select(F.lit(1).alias("_one"), F.col("mean").alias("_mean"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))  # a single row
     full = scored.join(by_lang, "lang", "left").withColumn("_one", F.lit(1)).join(F.broadcast(rest), "_one", "left")
