@@ -24,9 +24,10 @@ from .components import components
 
 travels(wordscan)
 
-SHINGLE, PERCENT = 4, 85
-#: Share of the shingles (by hash) on which sets without partners are told apart before the rest is counted.
-TRIED = 0.2
+SHINGLE, PERCENT = 5, 80
+#: Sets without partners are told apart on a share of the shingles (by hash) before the rest is counted: so many times
+#: the share that a set with a partner may have to itself.
+TRIED = 1.5
 CELL_ROWS, CELL_COLS = 128, 256
 
 
@@ -154,7 +155,8 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, t
     Rows without doc_id are no documents; of rows that share one the least text stays. Other columns are ignored. An
     empty table gives an empty result. Shingles are 64-bit hashes; sets are equal if 128 bits of them are."""
     own = one_per_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    outline = settle(own.select("doc_id", "text").mapInArrow(_outline(n, tried), "doc_id long, n long, s1 long, s2 long, some array<long>"), "outline")
+    share = min(0.999, tried * (100 - percent) / 100)
+    outline = settle(own.select("doc_id", "text").mapInArrow(_outline(n, share), "doc_id long, n long, s1 long, s2 long, some array<long>"), "outline")
 
     # One set for equal ones; sets with too many shingles of their own leave.
     equal = ["n", "s1", "s2"]
@@ -194,7 +196,7 @@ def similar_classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, t
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(read(spark, sf_dir, "documents"))
+    return similar_classes(read(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 ORACLE = """

@@ -310,7 +310,8 @@ def edited(text, k, seed):
     return " ".join(w)
 
 
-def test_classes_against_brute_force(spark, table, prose, monkeypatch):
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_classes_against_brute_force(spark, table, prose, monkeypatch, n, percent):
     monkeypatch.setattr(jaccard, "CELL_ROWS", 3)
     monkeypatch.setattr(jaccard, "CELL_COLS", 5)
     shared = prose(30, 77)
@@ -325,8 +326,8 @@ def test_classes_against_brute_force(spark, table, prose, monkeypatch):
         texts[3000 + k] = prose(random.Random(k).randrange(7), 6000 + k % 9)
     texts[4000], texts[4001] = texts[0].upper(), "A b C"
     texts[4002] = "a B c"
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_classes(table(list(texts.items()))).collect()}
-    assert got == brute_classes(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_classes(table(list(texts.items())), n, percent).collect()}
+    assert got == brute_classes(texts, n, percent)
 
 
 def test_components_of_paths_and_stars(spark):
