@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +15,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _made: list[tuple[SparkSession, str]] = []
 
 
-def travels(module) -> None:
-    """Ship a module's functions inside the closures, so executors needn't have the repository on their path."""
-    cloudpickle.register_pickle_by_value(module)
-
-
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``; where that is unset (tests), below a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)

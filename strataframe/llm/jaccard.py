@@ -14,15 +14,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordscan
 from .bloom import semi_join
-from .common import forget, one_per_id, read, settle, travels
+from .common import forget, one_per_id, read, settle
 from .components import components
 
-travels(wordscan)
 
 SHINGLE, PERCENT = 5, 80
 #: Sets without partners are told apart on a share of the shingles (by hash) before the rest is counted: so many times
@@ -47,6 +47,13 @@ def shingles(column: pa.Array, n: int, fold: bool = True):
                 yield at + i, np.zeros(0, np.uint64)
 
 
+def _parts(batches, *names: str):
+    """The named columns and the texts of a few megabytes at a time."""
+    for b in batches:
+        for at, part in wordscan.pieces(b["text"]):
+            yield [b[c].slice(at, len(part)) for c in names], part
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
     return pa.LargeListArray.from_arrays(np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int64), wordscan.as_long(flat)).cast(pa.list_(pa.int64()))
@@ -57,20 +64,20 @@ def _outline(n: int, tried: float):
     top = np.uint64(int(tried * 2**64))
 
     def run(batches):
-        for b in batches:
+        for names, part in _parts(batches, "doc_id"):
             out = ([], [], [], [])
-            for _, t in shingles(b["text"], n):
+            for _, t in shingles(part, n):
                 for col, v in zip(out, (len(t), int(wordscan.mix(t ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)), int(wordscan.mix(t ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64)), t[: np.searchsorted(t, top)]), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), _lists(out[3])], ["doc_id", "n", "s1", "s2", "some"])
+            yield pa.RecordBatch.from_arrays([*names, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), _lists(out[3])], ["doc_id", "n", "s1", "s2", "some"])
 
     return run
 
 
 def _whole(n: int):
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n"], _lists([t for _, t in shingles(b["text"], n)])], ["doc_id", "n", "t"])
+        for names, part in _parts(batches, "doc_id", "n"):
+            yield pa.RecordBatch.from_arrays([*names, _lists([t for _, t in shingles(part, n)])], ["doc_id", "n", "t"])
 
     return run
 
@@ -106,7 +113,7 @@ def _cell(percent: int):
         row = table["row"].to_numpy(zero_copy_only=False).astype(bool)
         doc, comp, n = (table[c].to_numpy() for c in ("doc_id", "comp", "n"))
         t = table["t"].combine_chunks()
-        ends = np.r_[0, np.cumsum(pa.compute.list_value_length(t).to_numpy(zero_copy_only=False))]
+        ends = np.r_[0, np.cumsum(pc.list_value_length(t).to_numpy(zero_copy_only=False))]
         _, code = np.unique(t.flatten().to_numpy(), return_inverse=True)
         rows, cols = np.flatnonzero(row), np.flatnonzero(~row)
         has = np.zeros((int(code.max(initial=0)) + 1, len(rows)), np.uint8)

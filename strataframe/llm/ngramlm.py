@@ -15,7 +15,7 @@ from . import wordscan
 VOCABULARY, SHAPES = 60_000, 1 << 10
 START = VOCABULARY + SHAPES
 IDS = START + 1
-PIECE = 12 << 20
+PIECE = 4 << 20
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 4

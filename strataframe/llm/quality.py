@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from . import ngramlm, wordscan
 from .bloom import semi_join
-from .common import one_per_id, read, settle, travels
+from .common import one_per_id, read, settle
 
-travels(wordscan)
-travels(ngramlm)
 
 HELD_FOLDS = 5  # one in so many trusted documents sets the bounds
 QUANTILE = 0.002

@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom, wordscan
-from .common import forget, one_per_id, read, settle, travels
+from .common import forget, one_per_id, read, settle
 
-travels(wordscan)
 
 WINDOW = 20
 FILTER_BITS = 24
@@ -103,7 +102,9 @@ def repeated(own: DataFrame, window: int = WINDOW) -> DataFrame:
         place = F.struct("doc_id", "p")
     first = spots.select("h", place.alias("_at")).groupBy("h").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("h", "_first")
     first = settle(first, "firsts")
-    return spots.select("h", "doc_id", "p", place.alias("_at")).join(first, "h").filter("_at > _first").select("doc_id", "p")
+    later = settle(spots.select("h", "doc_id", "p", place.alias("_at")).join(first, "h").filter("_at > _first").select("doc_id", "p"), "later")
+    forget(spots, first)
+    return later
 
 
 def longer_repeats(own: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -13,13 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.caches import Cache
 from .common import one_per_id, read
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SCHEMA = "doc_id {}, section long, first_char long, n_chars long, n_tokens long, n_crossing long, doc_tokens long"
-_encodings: dict[int, tuple] = {}
+_encodings: dict[int, tuple] = Cache()
 
 
 def encoding(vocabulary: bytes):

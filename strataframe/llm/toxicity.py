@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordscan
-from .common import one_per_id, read, travels
+from .common import one_per_id, read
 
-travels(wordscan)
 
 BITS, FACTORS = 18, 4
 FIT_ROWS = 12000
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     got = one_per_id(docs, "doc_id", "text").join(sample, "doc_id").select(F.col("doc_id").alias("_d"), "toxic", "text").mapInArrow(_terms, "_d long, toxic int, terms array<int>").toArrow().sort_by("_d")  # so many rows at most
     terms = got["terms"].combine_chunks()
     feature = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(terms)), pa.compute.list_value_length(terms).to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
     return fit(row, feature, got["toxic"].to_numpy().astype(np.float32), share.get(1, 0) / max(1, sum(share.values())))
 
 

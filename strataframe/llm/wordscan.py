@@ -7,6 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from ..functions.caches import Cache
+
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
@@ -16,7 +18,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = Cache()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
