@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
 
 
 def fixed(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the checkpoint folder and read from there: computed once, with a lineage and statistics
     of its own, and still there when an executor is lost. The folder is the session's spark.checkpoint.dir; only where
-    that is unset (tests) is one chosen here."""
+    that is unset (tests) is one chosen here. The tables go when the driver's process ends."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "/tmp/checkpoints/strataframe"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    _made.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _made:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may already be gone at interpreter exit
+            return
