@@ -40,7 +40,11 @@ def drift(dx: np.ndarray, dy: np.ndarray, order: int) -> np.ndarray:
     return np.stack(terms, -1)
 
 
-def krige_stack(dx: np.ndarray, dy: np.ndarray, z: np.ndarray, variogram: tuple, order: int = 0, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: By how much of the neighbours' range an estimate may leave it before inverse distance steps in.
+GUARDS = {"range": 0.0, "widened": 0.5, "none": np.inf}
+
+
+def krige_stack(dx: np.ndarray, dy: np.ndarray, z: np.ndarray, variogram: tuple, order: int = 0, ridge: float = 1e-6, guard: str = "range") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Estimate, variance and whether inverse distance had to step in, for a stack of cells with equally many
     neighbours at (dx, dy) from the cell. ``variogram``: (model, nugget, sill, range)."""
     model, nugget, sill, reach = variogram
@@ -61,7 +65,8 @@ def krige_stack(dx: np.ndarray, dy: np.ndarray, z: np.ndarray, variogram: tuple,
     w = solve_stack(a, right)[:, :, 0]
     est = (w[:, :k] * z).sum(1)
     with np.errstate(invalid="ignore"):
-        bad = ~np.isfinite(est) | (est < z.min(1)) | (est > z.max(1))
+        room = GUARDS[guard] * (z.max(1) - z.min(1)) if guard != "none" else np.inf
+        bad = ~np.isfinite(est) | (est < z.min(1) - room) | (est > z.max(1) + room)
     var = total - (w * right[:, :, 0]).sum(1)
     if bad.any():
         v = 1 / np.maximum(dist[bad], 1e-9) ** 2
@@ -109,7 +114,7 @@ def _neighbours(points: DataFrame, cells: DataFrame, k: int, radius: float, leas
     return near.withColumns({"bi": F.floor(F.col("row") / block), "bj": F.floor(F.col("col") / block)})
 
 
-def krige(points: DataFrame, cells: DataFrame, variogram: tuple, k: int = 16, radius: float = 50.0, least: int = 4, order: int = 0, block: int = 32) -> DataFrame:
+def krige(points: DataFrame, cells: DataFrame, variogram: tuple, k: int = 16, radius: float = 50.0, least: int = 4, order: int = 0, block: int = 32, guard: str = "range") -> DataFrame:
     """``row, col, z, variance, fallback``: ordinary (order 0) or universal kriging at the cells (row, col, xi, yi), from the
     ``k`` nearest points within the radius; cells with fewer than ``least`` points have no estimate. An estimate outside
     its neighbours' range is replaced by inverse squared distance."""
@@ -117,7 +122,7 @@ def krige(points: DataFrame, cells: DataFrame, variogram: tuple, k: int = 16, ra
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         enough = frame.groupby(["row", "col"])["k"].transform("size") >= need
-        got = by_count(frame[enough], ["row", "col"], lambda dx, dy, z: krige_stack(dx, dy, z, variogram, order), ["z", "variance", "fallback"])
+        got = by_count(frame[enough], ["row", "col"], lambda dx, dy, z: krige_stack(dx, dy, z, variogram, order, guard=guard), ["z", "variance", "fallback"])
         return got.astype({"row": "int64", "col": "int64", "z": "float64", "variance": "float64", "fallback": "bool"})
 
     near = _neighbours(points, cells, k, radius, need, block)
@@ -269,9 +274,32 @@ def slope_adaptive(data: np.ndarray, cell: float, knee: float = 20.0, beta: floa
     return minimum_curvature(data, np.where(soft, tightness * cell / np.where(soft, slack, 1.0), exact)), int(soft.sum())
 
 
-def curvature_blocks(points: DataFrame, cell: int, core: int, halo: int, least: int = 20, tightness: float | None = 50.0, scale: float = 1.0) -> DataFrame:
+def gated(data: np.ndarray, cell: float, slope: float = 0.36, bend: float = 0.05, width: float = 0.25, low: float = 4.0, high: float = 1e4) -> tuple[np.ndarray, int]:
+    """The surface through all data, then again with weights between ``high`` and ``low``, falling geometrically where
+    it is steep or bent: a logistic gate on each, joined as a smooth union."""
+    has = np.isfinite(data)
+    first = minimum_curvature(data, np.where(has, np.inf, 0.0))
+    if not has.any() or min(data.shape) < 3:
+        return first, 0
+    gy, gx = np.gradient(first, cell)
+    lap = np.abs(np.gradient(gy, cell)[0] + np.gradient(gx, cell)[1])
+    gate = lambda v, at: 1 / (1 + np.exp(-np.clip((v / at - 1) / width, -50, 50)))
+    either = 1 - (1 - gate(np.hypot(gx, gy), slope)) * (1 - gate(lap, bend))
+    return minimum_curvature(data, np.where(has, high ** (1 - either) * low**either, 0.0)), int((has & (either > 0.5)).sum())
+
+
+def pooled(total: np.ndarray, count: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian-weighted means of the returns about each cell with data: sums and counts blurred apart."""
+    from .ground import blur
+
+    num, den = blur(total, sigma), blur(count.astype(float), sigma)
+    return np.where((count > 0) & (den > 1e-9), num / np.maximum(den, 1e-9), np.nan)
+
+
+def curvature_blocks(points: DataFrame, cell: int, core: int, halo: int, least: int = 20, tightness: float | None = 50.0, scale: float = 1.0, pool: float = 0.0, variant: str = "slope") -> DataFrame:
     """``row, col, z, constrained, relaxed``: minimum curvature in blocks of ``core`` with a halo, in whole units of the points. Blocks
-    with fewer than ``least`` points have no surface. ``cell`` must divide core and halo."""
+    with fewer than ``least`` points have no surface. ``cell`` must divide core and halo. ``pool``: a Gaussian, in cells, over
+    which returns are averaged; ``variant``: slope or gated."""
 
     def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(key[0]), int(key[1])
@@ -284,8 +312,9 @@ def curvature_blocks(points: DataFrame, cell: int, core: int, halo: int, least:
         ok = (r >= 0) & (r < size) & (c >= 0) & (c < size)
         flat = r[ok] * size + c[ok]
         total, n = np.bincount(flat, frame["z"].to_numpy(float)[ok], size * size), np.bincount(flat, minlength=size * size)
-        data = np.where(n > 0, total / np.maximum(n, 1), np.nan).reshape(size, size)
-        surface, relaxed = slope_adaptive(data, cell * scale, tightness=tightness)
+        total, n = total.reshape(size, size), n.reshape(size, size)
+        data = pooled(total, n, pool) if pool else np.where(n > 0, total / np.maximum(n, 1), np.nan)
+        surface, relaxed = gated(data, cell * scale) if variant == "gated" else slope_adaptive(data, cell * scale, tightness=tightness)
         inner = slice(halo // cell, (halo + core) // cell)
         rr, cc = np.mgrid[inner, inner]
         return pd.DataFrame({"row": (rr + top).ravel(), "col": (cc + left).ravel(), "z": surface[inner, inner].ravel(), "constrained": np.isfinite(data[inner, inner]).ravel(), "relaxed": np.full(rr.size, relaxed)})

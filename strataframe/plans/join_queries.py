@@ -217,3 +217,17 @@ def densest_windows(spark: SparkSession, d: str) -> DataFrame:
     """The eighteen fullest windows; sorting keeps eighteen rows a task."""
     g = cloud(spark, d).groupBy(F.col("psid").cast("bigint").alias("psid"), F.expr("xi div 100").alias("c")).agg(one().alias("n"), F.sum("zi").alias("z"))
     return g.orderBy(F.desc("n"), "psid", "c").limit(18)
+
+
+@query("SELECT c_mktsegment AS segment, count(*) AS n, count(o.o_orderkey) AS with_optimum, sum(CASE WHEN o.o_orderkey IS NULL THEN 1 ELSE 0 END)::BIGINT AS without FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1) o ON o.o_custkey = c_custkey GROUP BY 1")
+def lookup_optimum(spark: SparkSession, d: str) -> DataFrame:
+    """A lookup by key, with what it lacks counted."""
+    o = table(spark, d, "orders").filter("o_orderpriority like '1%'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("k"))
+    j = table(spark, d, "customer").join(o, "c_custkey", "left")
+    return j.groupBy(F.col("c_mktsegment").alias("segment")).agg(one().alias("n"), F.count("k").alias("with_optimum"), F.count_if(F.col("k").isNull()).alias("without"))
+
+
+@query("SELECT DISTINCT p_brand AS name, min(p_partkey) OVER (PARTITION BY p_brand) AS first FROM part")
+def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Each name once, with the place where it came first."""
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("first"))

@@ -268,3 +268,51 @@ def cleanup_tradeoff(spark: SparkSession, d: str) -> DataFrame:
     row = h.agg(F.count_if("ground").alias("g"), F.count_if(~F.col("ground")).alias("c"), *[F.count_if((F.col("h") > t) & F.col("ground")).alias(f"g{t}") for t in ts], *[F.count_if((F.col("h") > t) & ~F.col("ground")).alias(f"c{t}") for t in ts])
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.round(F.col(f"g{t}") / F.col("g"), 8).alias("ground_lost"), F.round(F.col(f"c{t}") / F.col("c"), 8).alias("recall")) for t in ts]))
     return row.select(each.alias("x")).select("x.*")
+
+
+@query()
+def guard_variants(spark: SparkSession, d: str) -> DataFrame:
+    """How often the estimate is replaced, and how far it spreads, under each guard."""
+    q = bare(spark, d)
+    every = None
+    for guard in S.GUARDS:
+        k = S.krige(q, lattice(q), VARIOGRAM, guard=guard).agg(F.lit(guard).alias("guard"), one().alias("cells"), F.count_if("fallback").alias("fallbacks"), F.round(F.max("z") - F.min("z"), 3).alias("spread"))
+        every = k if every is None else every.unionByName(k)
+    return every
+
+
+@query()
+def biharmonic_gated(spark: SparkSession, d: str) -> DataFrame:
+    """The variant that relaxes by slope and curvature, on pooled returns."""
+    return S.curvature_blocks(bare(spark, d), 10, 500, 200, scale=0.1, pool=0.75, variant="gated").select("row", "col", F.round("z", 3).alias("z"))
+
+
+@query()
+def quick_density(spark: SparkSession, d: str) -> DataFrame:
+    """Ground density of a window by a coarse filter."""
+    p = cloud(spark, d).filter("xi between 0 and 999 and yi between 0 and 499").select("xi", "yi", "zi")
+    return Gd.classified(p, "smrf", window=16.0, cell=2.0).agg(one().alias("returns"), F.count_if("is_ground").alias("ground"), F.round(F.count_if("is_ground") / F.count_distinct(F.expr("xi div 50"), F.expr("yi div 50")) / 25, 6).alias("density"))
+
+
+@query()
+def finished_raster(spark: SparkSession, d: str) -> DataFrame:
+    """A raster with its voids filled, trimmed to the footprint of the data."""
+    from ..model import snap_outward
+    from ..operators.finish import finalise, footprint
+
+    p = cloud(spark, d)
+    r = raster(p, 5)
+    h, w = r.agg(F.max("row"), F.max("col")).first()
+    g = snap_outward(0, 0, (w + 1) * 5, (h + 1) * 5, 5)
+    cells = r.select((g.height - 1 - F.col("row")).alias("row"), "col", "z")
+    at = p.select((F.col("xi") + 0.5).alias("x"), (F.col("yi") + 0.5).alias("y"))
+    return finalise(cells, g, footprint(at, g, 10, 2)).select("row", "col", F.round("z", 4).alias("z"))
+
+
+@query()
+def dark_features(spark: SparkSession, d: str) -> DataFrame:
+    """The largest dark patch of the relief."""
+    from ..operators.finish import dark_patch
+
+    r, h, w = raster_and_size(spark, d)
+    return dark_patch(X.composite(r.withColumn("z", F.col("z") / 100), h, w, 2.0)).select("label", "cells", F.round("row", 4).alias("row"), F.round("col", 4).alias("col"))

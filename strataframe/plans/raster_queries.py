@@ -329,3 +329,37 @@ def g1_composite(spark: SparkSession, d: str) -> DataFrame:
 def g1_fixed_bounds(spark: SparkSession, d: str) -> DataFrame:
     r, h, w = surface(spark, d)
     return X.composite(r.withColumn("z", F.col("z") / 100), h, w, 2.0, {"shade": (0, 1), "tan": (0, 2), "open": (45, 95), "svf": (0.5, 1)})
+
+
+@query(G + """, a AS (SELECT row, max(col) - min(col) + 1 AS w FROM r WHERE row % 5 = 0 GROUP BY row), b AS (SELECT row, max(col) - min(col) + 1 AS w FROM g WHERE row % 5 = 0 GROUP BY row)
+SELECT (SELECT median(w) FROM a) AS width_all, (SELECT median(w) FROM b) AS width_ground, (SELECT median(w) FROM a) - (SELECT median(w) FROM b) AS lost""")
+def strip_width(spark: SparkSession, d: str) -> DataFrame:
+    """The median span of every fifth row of two masks, and what the one lacks."""
+    p = cloud(spark, d)
+    w = lambda r, c: X.spans(r.filter("row % 5 = 0")).agg(F.median(F.col("hi") - F.col("lo") + 1).alias(c))  # noqa: E731 - single rows
+    both = w(raster(p), "width_all").join(F.broadcast(w(raster(p.filter("ground")), "width_ground")))
+    return both.withColumn("lost", F.col("width_all") - F.col("width_ground"))
+
+
+@query(R + """, o AS (SELECT * FROM r WHERE row < 30 AND col < 40), f AS (SELECT unnest([row, -1 - row, 59 - row]) AS row, col, z FROM o), m AS (SELECT row, unnest([col, -1 - col, 79 - col]) AS col, z FROM f),
+x AS (SELECT * FROM m WHERE row BETWEEN -3 AND 32 AND col BETWEEN -3 AND 42 AND NOT (row BETWEEN 0 AND 29 AND col BETWEEN 0 AND 39)), n AS (SELECT row, col, z FROM r WHERE row BETWEEN -3 AND 32 AND col BETWEEN -3 AND 42 AND NOT (row BETWEEN 0 AND 29 AND col BETWEEN 0 AND 39))
+SELECT kind, count(*) AS n, sum(z)::BIGINT AS z FROM (SELECT 'own' AS kind, z FROM o UNION ALL SELECT 'neighbour', z FROM n UNION ALL SELECT 'mirrored', z FROM x WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.row = x.row AND n.col = x.col)) GROUP BY kind""")
+def haloed_tile(spark: SparkSession, d: str) -> DataFrame:
+    """A tile with a halo of three cells: its neighbours' cells where there are some, mirrored ones elsewhere."""
+    from ..operators.finish import with_halo
+
+    r = raster(cloud(spark, d)).select("row", "col", "z")
+    t = with_halo(r.filter("row < 30 and col < 40"), r.filter("row >= 30 or col >= 40"), 30, 40, 3)
+    return t.groupBy("kind").agg(one().alias("n"), F.sum("z").cast("bigint").alias("z"))
+
+
+DETAIL = R + ", b AS (SELECT a.row, a.col, a.z, sum(b.z)::DOUBLE / count(b.z) AS m FROM r a JOIN r b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY 1, 2, 3)"
+
+
+@query(DETAIL + ", e AS (SELECT row, col, round(z - m, 6) AS d FROM b) SELECT count(*) AS pairs, round(avg(a.d * b.d), 2) AS coherent, round(avg((a.d - b.d) * (a.d - b.d)) / 2, 2) AS nugget FROM e a JOIN e b ON b.row = a.row AND b.col = a.col + 1")
+def detail_coherence(spark: SparkSession, d: str) -> DataFrame:
+    """Detail beyond a 3 x 3 mean: what neighbouring cells share, and the semivariance at one cell."""
+    r, h, w = surface(spark, d)
+    e = X.box(X.dense(r, h, w), 1).filter("z is not null").select("row", "col", F.round(F.col("z") - F.col("box_mean"), 6).alias("z"))
+    gap = F.col("z") - F.col("z2")
+    return X.lag_pairs(e, [(0, -1)]).agg(one().alias("pairs"), F.round(F.avg(F.col("z") * F.col("z2")), 2).alias("coherent"), F.round(F.avg(gap * gap) / 2, 2).alias("nugget"))

@@ -116,7 +116,7 @@ def write(path: str, x, y, z, cls=None, psid=None, ret=None, nret=None, intensit
     a = np.zeros((n, RECORD[kind]), np.uint8)
 
     def put(at, v, t):
-        a[:, at : at + np.dtype(t).itemsize] = np.ascontiguousarray(np.asarray(v).astype(t)).view(np.uint8).reshape(n, -1)
+        a[:, at : at + np.dtype(t).itemsize] = np.ascontiguousarray(np.asarray(v).astype(t)).view(np.uint8).reshape(n, np.dtype(t).itemsize)
 
     for i, v in enumerate((x, y, z)):
         put(4 * i, np.round((v - shift[i]) / scale), "<i4")
@@ -198,7 +198,7 @@ class _Reader(DataSourceReader):
 
 
 class LasSource(DataSource):
-    """``spark.read.format("las").load("a.las,b.las")``; register with ``spark.dataSource.register(LasSource)``."""
+    """``spark.read.format("las").load("a.las,b.las")`` after ``register(spark)``."""
 
     @classmethod
     def name(cls):
@@ -209,3 +209,9 @@ class LasSource(DataSource):
 
     def reader(self, schema):
         return _Reader(self.options)
+
+
+def register(spark) -> None:
+    """Make the format known to a session, with its filters pushed down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(LasSource)

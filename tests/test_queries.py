@@ -12,7 +12,7 @@ from strataframe import catalogue
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries that take several seconds each run in the driver's own check.
-SLOW = {"components", "largest_patches", "fill_holes", "void_fill", "parameter_sweep", "tile_to_raster", "range_stability", "footprint_outlines", "spline_tension", "ground_by_strip"}
+SLOW = {"components", "largest_patches", "fill_holes", "void_fill", "parameter_sweep", "tile_to_raster", "range_stability", "footprint_outlines", "spline_tension", "ground_by_strip", "finished_raster", "dark_features", "biharmonic_gated", "guard_variants"}
 
 
 @pytest.fixture(scope="module")

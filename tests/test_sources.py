@@ -19,7 +19,7 @@ def test_las_round_trip(spark, tmp_path, version):
     path = str(tmp_path / "a.las")
     s = sample()
     las.write(path, **s, version=version, wkt="LOCAL_CS[]" if version == 4 else None)
-    spark.dataSource.register(las.LasSource)
+    las.register(spark)
     got = spark.read.format("las").option("records", "4").load(path).orderBy("x").collect()
     assert len(got) == 10
     for k in ("x", "y", "z", "gps"):
@@ -36,7 +36,7 @@ def test_las_filters_and_errors(spark, tmp_path):
     las.write(a, **s)
     las.write(b, **{**s, "x": s["x"] + 1000})
     las.write(empty, [], [], [])
-    spark.dataSource.register(las.LasSource)
+    las.register(spark)
     df = spark.read.format("las").load(f"{a},{b}")
     assert df.filter("x > 500").count() == 10 and df.filter("x >= 104.5 and cls = 0").count() == 5
     with pytest.raises(Exception, match="no points"):
@@ -121,3 +121,48 @@ def test_tiles_arrive_once(spark, tmp_path):
     tile(20).write.mode("append").parquet(src)
     run()
     assert spark.read.parquet(out).agg(F.sum("n")).first()[0] == 70
+
+
+def test_names_pairs_and_roots(spark, tmp_path):
+    from strataframe.sources import files
+
+    paths = ["/a/Ridge_North_GLAS_Apr2013_l1s201.las", "/a/Ridge_North_GLAS_Apr2013_l1s202.las", "/a/odd.txt"]
+    refs = ["/r/Ridge_North_GLAS_Apr2013_l1s201_DTM.tif", "/r/Ridge_North_GLAS_Apr2013_l1s201_b.tif", "/r/Ridge_North_GLAS_Apr2013_l1s202_DTM.tif"]
+    frame = lambda p: files.archive(spark.createDataFrame([(x,) for x in p], "path string"))
+    got = {r["path"]: (r["region"], r["sensor"], r["campaign"], r["tile"]) for r in frame(paths).collect()}
+    assert got[paths[0]] == ("Ridge_North", "GLAS", "Apr2013", "l1s201") and got[paths[2]] == ("", "", "", "")
+    pairs, failed = files.paired(frame(paths[:2]), frame(refs), ["region", "sensor", "tile"])
+    assert [r["reference"] for r in pairs.collect()] == [refs[2]] and [r["reason"] for r in failed.collect()] == ["ambiguous"]
+    with pytest.raises(Exception, match="unknown region"):
+        files.archive(spark.createDataFrame([(paths[0],)], "path string"), known=["Other"]).count()
+    r = files.Roots({"data": "/a/b", "deep": "/a/b/c"})
+    assert r.shorten("/a/b/c/d") == "{deep}/d" and r.expand("{data}/x") == "/a/b/x" and r.shorten("/q") == "/q"
+    pts = spark.createDataFrame([(1.0, 2.0, "n")], "x double, y double, name string")
+    files.points_geojson(pts, str(tmp_path / "p.json"))
+    assert json.load(open(tmp_path / "p.json"))["features"][0]["properties"] == {"name": "n"}
+    files.points_csv(pts, str(tmp_path / "csv"))
+    files.sidecar(str(tmp_path / "s.json"), '{"a": 1}', {"cells": 3})
+    assert json.load(open(tmp_path / "s.json")) == {"a": 1, "run": {"cells": 3}}
+    tell = files.progress_lines(str(tmp_path / "l.jsonl"))
+    tell("a", "b", 0.5)
+    assert json.loads(open(tmp_path / "l.jsonl").read())["fraction"] == 0.5
+
+
+def test_frames_protect_their_sides(spark):
+    from strataframe.operators.finish import finalise, footprint, protected_sides, strip_axis
+
+    rng = np.random.default_rng(0)
+    xy = [(float(a), float(b)) for a, b in zip(rng.uniform(0, 200, 30000), rng.uniform(0, 200, 30000), strict=True)]
+    p = spark.createDataFrame(xy, "x double, y double")
+    whole, inner = Grid(0.0, 200.0, 2.0, 100, 100), Grid(40.0, 160.0, 2.0, 60, 60)
+    assert not any(protected_sides(p, whole).values()) and all(protected_sides(p, inner).values())
+    west = Grid(40.0, 200.0, 2.0, 80, 100)
+    assert protected_sides(p, west) == {"north": False, "south": False, "west": True, "east": False}
+    span = lambda g: footprint(p, g, 2.0, 10).agg(F.min("col"), F.max("col")).first()
+    assert tuple(span(whole)) == (10, 89) and tuple(span(inner)) == (0, 59) and tuple(span(west)) == (0, 69)
+    cells = spark.createDataFrame([(r, c, 130.0) for r in range(50) for c in range(50) if not (20 <= r < 25 and 20 <= c < 25)], "row long, col long, z double")
+    g = Grid(0.0, 50.0, 1.0, 50, 50)
+    assert finalise(cells, g).count() == 2500 and finalise(cells, g, erode=1).count() == 2500 and finalise(cells, g, strip=5).count() == 2000
+    with pytest.raises(ValueError):
+        finalise(cells, g, strip=1, erode=1)
+    assert strip_axis("A_GLAS_b", 9, 1) == "x" and strip_axis("A_NFI_b", 1, 9) == "y" and strip_axis("x", 5, 3) == "y"
