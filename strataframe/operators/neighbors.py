@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import fixed
+
 NINE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
@@ -47,9 +49,9 @@ def nearest(a: DataFrame, b: DataFrame, key: list[str], order: list[str], start:
     found none. A hit within a ring is the nearest, as the join covers the whole disc."""
     left, found = a, None
     for i in range(rounds):
-        hit = knn(left, b, 1, start * 2**i, key, order, x, y)
+        hit = fixed(knn(left, b, 1, start * 2**i, key, order, x, y))
         found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit.select(*key), key, "left_anti")
+        left = fixed(left.join(hit.select(*key), key, "left_anti"))
         if left.isEmpty():
             break
     return found
