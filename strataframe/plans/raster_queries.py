@@ -263,12 +263,12 @@ def returns_below(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(one().alias("returns"), F.count_if(low).alias("below"), F.round(F.count_if(low) / one(), 8).alias("share"), F.median(depth).alias("median_depth"), F.percentile(depth, 0.95).alias("p95_depth"))
 
 
-@query(R + ", v AS (SELECT a.row, a.col, greatest(abs(e.z - a.z), abs(s.z - a.z)) AS step FROM r a JOIN r e ON e.row = a.row AND e.col = a.col + 1 JOIN r s ON s.row = a.row + 1 AND s.col = a.col) SELECT count(*) AS n, quantile_cont(step, 0.5) AS p50, quantile_cont(step, 0.9) AS p90, quantile_cont(step, 0.99) AS p99 FROM v")
+@query(R + ", v AS (SELECT a.row, a.col, greatest(abs(e.z - a.z), abs(s.z - a.z)) AS step FROM r a JOIN r e ON e.row = a.row AND e.col = a.col + 1 JOIN r s ON s.row = a.row + 1 AND s.col = a.col) SELECT count(*) AS n, round(quantile_cont(step, 0.5), 4) AS p50, round(quantile_cont(step, 0.9), 4) AS p90, round(quantile_cont(step, 0.99), 4) AS p99 FROM v")
 def sharpness(spark: SparkSession, d: str) -> DataFrame:
     """Height differences over one cell."""
     r = raster(cloud(spark, d))
     q = X.lag_pairs(r, [(0, -1), (-1, 0)]).groupBy("row", "col").agg(F.max(F.abs(F.col("z2") - F.col("z"))).alias("step"), one().alias("k")).filter("k = 2")
-    return q.agg(one().alias("n"), F.percentile("step", [0.5, 0.9, 0.99]).alias("q")).select("n", *[F.col("q")[i].alias(f"p{k}") for i, k in enumerate((50, 90, 99))])
+    return q.agg(one().alias("n"), F.percentile("step", [0.5, 0.9, 0.99]).alias("q")).select("n", *[F.round(F.col("q")[i], 4).alias(f"p{k}") for i, k in enumerate((50, 90, 99))])
 
 
 @query(G + " SELECT (SELECT count(*) FROM (SELECT row, col FROM r INTERSECT SELECT row, col FROM g)) AS both, (SELECT count(*) FROM (SELECT row, col FROM r UNION SELECT row, col FROM g)) AS either, (SELECT count(*) FROM (SELECT row, col FROM r EXCEPT SELECT row, col FROM g)) AS only_a")
