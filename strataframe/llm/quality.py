@@ -1,8 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model trained on trusted text.
 
-A document's log probability is the sum, over its words, of what backing off gives, which needs only tables of bounded
-size, and of the gain of each bigram that the trusted text has, which comes from a join of the documents' bigrams with
-the trusted counts, shard by shard. The mean loss, drawn towards the language's own mean for short texts, is compared
+A document's log probability is the sum, over its words, of what backing off gives with the frequent words alone, which
+needs only tables of bounded size, and of the gain of each rare word and of each bigram that the trusted text has, which
+comes from a join of the documents' rare words and bigrams with the trusted counts, shard by shard. No word that the
+trusted text has is left out; the share of a word that it doesn't have comes from the words seen once and twice. The mean loss, drawn towards the language's own mean for short texts, is compared
 with quantiles of trusted documents of the same language that the model wasn't trained on. Losses beyond the upper
 bound (noise) and the lower bound (repetition) are rejected.
 """
@@ -38,105 +39,203 @@ def _trusted_bigrams(vocabulary, place, shards):
         for b in batches:
             for _, part in wordscan.pieces(b["text"], ngramlm.PIECE):
                 s = wordscan.scan(part)
-                gram, n = np.unique(ngramlm.bigrams(s, ngramlm.ids(s, vocabulary, place))[1], return_counts=True)
-                own = ngramlm.shard_of(gram, shards)
-                for k in np.unique(own):
-                    at = own == k
-                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([ngramlm.pack_sorted(gram[at])], pa.binary()), pa.array([ngramlm.pack(n[at].astype(np.uint32))], pa.binary())], ["shard", "gram", "n"])
+                word = ngramlm.ids(s, vocabulary, place)
+                before, gram = ngramlm.bigrams(s, word)
+                rare = gram >= ngramlm.HASHED
+                gram, n = np.unique(gram[~rare], return_counts=True)
+                left, right, m = ngramlm.tally(before[rare], word[rare], np.ones(int(rare.sum()), np.int64))
+                own, others = ngramlm.shard_of(gram, shards), ngramlm.shard_of(ngramlm.owner(left, right, right), shards)
+                for k in np.union1d(own, others):
+                    yield pa.RecordBatch.from_pylist([_counted(k, gram[own == k], n[own == k], left[others == k], right[others == k], m[others == k])], COUNTED)
 
     return run
 
 
+COUNTS = "shard int, gram binary, n binary, before binary, word binary, m binary"
+COUNTED = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in ("gram", "n", "before", "word", "m")]])
+
+
+def _counted(shard, gram, n, before, word, m) -> dict:
+    """A row of counts: bigrams of frequent words as one number, the others as pairs."""
+    small = lambda x: ngramlm.pack(x.astype(np.uint32))
+    return {"shard": int(shard), "gram": ngramlm.pack_sorted(gram), "n": small(n), "before": ngramlm.pack_sorted(before), "word": ngramlm.pack(word), "m": small(m)}
+
+
+def _pairs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs with a rare word of a row of counts."""
+    return ngramlm.unpack_sorted(row["before"], np.int64), ngramlm.unpack(row["word"], np.int64), ngramlm.unpack(row["m"], np.uint32).astype(np.int64)
+
+
 def _merge(table):
     """One shard's counts, summed over batches."""
-    gram = np.concatenate([ngramlm.unpack_sorted(x.as_py(), np.int64) for x in table["gram"]])
-    n = np.concatenate([ngramlm.unpack(x.as_py(), np.uint32) for x in table["n"]]).astype(np.int64)
-    order = np.argsort(gram, kind="stable")
-    gram, n = gram[order], n[order]
-    edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "gram": pa.array([ngramlm.pack_sorted(gram[edge])], pa.binary()), "n": pa.array([ngramlm.pack(np.add.reduceat(n, edge).astype(np.uint32))], pa.binary())})
+    rows = table.to_pylist()
+    gram = np.concatenate([ngramlm.unpack_sorted(r["gram"], np.int64) for r in rows])
+    n = np.concatenate([ngramlm.unpack(r["n"], np.uint32) for r in rows]).astype(np.int64)
+    _, gram, n = ngramlm.tally(np.zeros(len(gram), np.int8), gram, n)
+    pairs = ngramlm.tally(*[np.concatenate(x) for x in zip(*map(_pairs, rows), strict=True)])
+    return pa.Table.from_pylist([_counted(rows[0]["shard"], gram, n, *pairs)], COUNTED)
 
 
 def _shard_sums(batches):
-    """For each id: tokens after it, its bigrams by count, ids before it; and under id -1 - c how many bigrams have count c."""
+    """For each small id: tokens after it, its bigrams by count, ids before it; and under id -1 - c how many bigrams have count c."""
     for b in batches:
-        for gram, n in zip(b["gram"], b["n"], strict=True):
-            gram, n = ngramlm.unpack_sorted(gram.as_py(), np.int64), ngramlm.unpack(n.as_py(), np.uint32).astype(np.int64)
-            before, word = gram // ngramlm.IDS, gram % ngramlm.IDS
-            sums = [np.bincount(before, n, ngramlm.IDS)] + [np.bincount(before[np.minimum(n, 3) == c], minlength=ngramlm.IDS) for c in (1, 2, 3)] + [np.bincount(word, minlength=ngramlm.IDS)]
-            some = np.flatnonzero(sums[0] + sums[4])
+        for row in b.to_pylist():
+            gram, n = ngramlm.unpack_sorted(row["gram"], np.int64), ngramlm.unpack(row["n"], np.uint32).astype(np.int64)
+            left, right, m = _pairs(row)
+            before, word, n = np.r_[gram // ngramlm.IDS, left], np.r_[gram % ngramlm.IDS, right], np.r_[n, m]
             cc = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
+            into = np.bincount(word[word < ngramlm.IDS], minlength=ngramlm.IDS)
+            small = before < ngramlm.IDS
+            before, n = before[small], n[small]
+            sums = [np.bincount(before, n, ngramlm.IDS)] + [np.bincount(before[np.minimum(n, 3) == c], minlength=ngramlm.IDS) for c in (1, 2, 3)] + [into]
+            some = np.flatnonzero(sums[0] + sums[4])
             ids = np.r_[some, -1 - np.arange(1, 5)]
             cols = [np.r_[x[some], cc if k == 0 else np.zeros(4)].astype(np.int64) for k, x in enumerate(sums)]
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), *map(pa.array, cols)], ["id", "total", "k1", "k2", "k3", "into"])
 
 
-def train(trusted: DataFrame, shards: int) -> tuple[ngramlm.Model, DataFrame]:
-    """The bounded part of the model and the table of trusted bigram counts ``shard, gram, n``."""
+def _asked(shards):
+    """Rare words after other rare words, to the shards that own them: how many distinct ones come before."""
+
+    def run(batches):
+        for b in batches:
+            for row in b.select(["shard", "before", "word", "m"]).to_pylist():
+                before, word, _ = _pairs(row)
+                word, k = np.unique(word[(before >= ngramlm.IDS) & (word >= ngramlm.IDS)], return_counts=True)
+                own = ngramlm.shard_of(word, shards)
+                for to in np.unique(own):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(to)], pa.int32()), pa.array([row["shard"]], pa.int32()), pa.array([ngramlm.pack_sorted(word[own == to])], pa.binary()), pa.array([ngramlm.pack(k[own == to].astype(np.uint32))], pa.binary())], ["shard", "source", "word", "k"])
+
+    return run
+
+
+RARE = "shard int, own boolean, words binary, into binary, c1 long, c2 long, c3 long, c4 long, c5 long, total long"
+RARES = pa.schema([("shard", pa.int32()), ("own", pa.bool_()), ("words", pa.binary()), ("into", pa.binary()), *[(c, pa.int64()) for c in ("c1", "c2", "c3", "c4", "c5", "total")]])
+
+
+def _answered(counts, asked):
+    """A shard's rare words with the number of distinct words before each, for itself and for the shards that ask."""
+    shard = (counts if counts.num_rows else asked)["shard"][0].as_py()
+    words, into = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row in counts.to_pylist():
+        before, word, _ = _pairs(row)
+        w, k = np.unique(word[(before < ngramlm.IDS) & (word >= ngramlm.IDS)], return_counts=True)
+        words.append(w)
+        into.append(k)
+    asked = [(r["source"], ngramlm.unpack_sorted(r["word"], np.int64), ngramlm.unpack(r["k"], np.uint32).astype(np.int64)) for r in asked.to_pylist()]
+    w = np.concatenate(words + [a[1] for a in asked])
+    _, w, k = ngramlm.tally(np.zeros(len(w), np.int8), w, np.concatenate(into + [a[2] for a in asked]))
+    row = lambda to, own, w, k: {"shard": to, "own": own, "words": ngramlm.pack_sorted(w), "into": ngramlm.pack(k.astype(np.uint32)), **{f"c{c}": int((np.minimum(k, 5) == c).sum()) for c in range(1, 6)}, "total": int(k.sum())}
+    return pa.Table.from_pylist([row(shard, True, w, k)] + [row(to, False, x, k[np.searchsorted(w, x)]) for to, x, _ in asked], RARES)
+
+
+def counted(trusted: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray, DataFrame, DataFrame]:
+    """The frequent words' hashes in order and their ids, the bigram counts by shard, and the rare words by shard."""
     words = trusted.select("text").mapInArrow(_vocabulary_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "h").limit(ngramlm.VOCABULARY).toArrow()  # the vocabulary's size at most
+    top = words.orderBy(F.desc("n"), "h").limit(ngramlm.VOCABULARY).toArrow()  # the words with small ids, not all words
     vocabulary = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(vocabulary)
     vocabulary, place = vocabulary[order], order.astype(np.int64)
-    counts = trusted.select("text").mapInArrow(_trusted_bigrams(vocabulary, place, shards), "shard int, gram binary, n binary")
-    counts = settle(counts.groupBy("shard").applyInArrow(_merge, "shard int, gram binary, n binary"), "bigrams")
+    counts = trusted.select("text").mapInArrow(_trusted_bigrams(vocabulary, place, shards), COUNTS)
+    counts = settle(counts.groupBy("shard").applyInArrow(_merge, COUNTS), "bigrams")
+    asked = counts.mapInArrow(_asked(shards), "shard int, source int, word binary, k binary")
+    rare = counts.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_answered, RARE)
+    return vocabulary, place, counts, settle(rare, "rare")
+
+
+def estimated(vocabulary: np.ndarray, place: np.ndarray, counts: DataFrame, rare: DataFrame) -> ngramlm.Model:
     cols = ["total", "k1", "k2", "k3", "into"]
-    sums = counts.mapInArrow(_shard_sums, "id long, total long, k1 long, k2 long, k3 long, into long").groupBy("id").agg(*[F.sum(c).alias(c) for c in cols]).toArrow()  # one row an id
+    sums = counts.mapInArrow(_shard_sums, "id long, total long, k1 long, k2 long, k3 long, into long").groupBy("id").agg(*[F.sum(c).alias(c) for c in cols]).toArrow()  # one row a small id
     at, x = sums["id"].to_numpy(), np.stack([sums[c].to_numpy() for c in cols], 1) if len(sums) else np.zeros((0, 5), np.int64)
     table = np.zeros((ngramlm.IDS, 5), np.int64)
     table[at[at >= 0]] = x[at >= 0]
     of = np.zeros(6, np.int64)
     of[-1 - at[at < 0]] = x[at < 0, 0]
     into = table[:, 4]
-    return ngramlm.Model(vocabulary, place, table[:, 0], table[:, 1:4], into, of, np.bincount(np.minimum(into, 5), minlength=6)), counts
+    more = rare.filter("own").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("c1", "c2", "c3", "c4", "c5", "total")]).first()
+    of_into = np.bincount(np.minimum(into, 5), minlength=6) + np.r_[0, more[:5]]
+    # As many words are unknown as Chao's estimate says, from the words seen after one and after two others.
+    unknown = max(1.0, float(of_into[1]) ** 2 / (2 * max(of_into[2], 1)))
+    return ngramlm.Model(vocabulary, place, table[:, 0], table[:, 1:4], into, of, of_into, int(into.sum()) + more[5], int(of_into[1:].sum()) + unknown)
+
+
+def train(trusted: DataFrame, shards: int) -> tuple[ngramlm.Model, DataFrame]:
+    """The bounded part of the model and the table of trusted bigram counts by shard."""
+    vocabulary, place, counts, rare = counted(trusted, shards)
+    return estimated(vocabulary, place, counts, rare), counts
 
 
 def _backing_off(model: ngramlm.Model):
-    """For each document its words and the loss of backing off throughout."""
+    """For each document its words and the loss of backing off throughout, as if every rare word were unknown."""
 
     def run(batches):
         for b in batches:
             for at, part in wordscan.pieces(b["text"], ngramlm.PIECE):
                 s = wordscan.scan(part)
                 word = ngramlm.ids(s, model.vocabulary, model.place)
-                before, _ = ngramlm.bigrams(s, word)
-                loss = -np.bincount(s.row, model.log_back[before] + model.log_share[word], len(part))
+                before = np.minimum(ngramlm.bigrams(s, word)[0], ngramlm.IDS)
+                loss = -np.bincount(s.row, log_back[before] + log_share[np.minimum(word, ngramlm.IDS)], len(part))
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, len(part)), pa.array(np.bincount(s.row, minlength=len(part)).astype(np.int64)), pa.array(loss.astype(np.float64))], ["doc_id", "n_words", "loss"])
 
+    log_back, log_share = np.r_[model.log_back, 0.0], np.r_[model.log_share, np.log(model.unknown)]
     return run
 
 
 def _document_bigrams(vocabulary, place, shards):
-    """A row for each batch and shard: the batch's bigrams, how many documents hold each, which, and how often."""
+    """A row for each batch and shard: the batch's bigrams and rare words, how many documents hold each, which, and how often."""
 
     def run(batches):
         for b in batches:
             for first, part in wordscan.pieces(b["text"], ngramlm.PIECE):
                 s = wordscan.scan(part)
-                gram = ngramlm.bigrams(s, ngramlm.ids(s, vocabulary, place))[1]
-                bits = max(1, int(len(part) - 1).bit_length())
-                both, n = np.unique((gram << bits) | s.row, return_counts=True)
-                gram, doc = both >> bits, (both & ((1 << bits) - 1)).astype(np.uint32)
-                own = ngramlm.shard_of(gram, shards)
+                word = ngramlm.ids(s, vocabulary, place)
+                if not len(word):
+                    continue
+                before, gram = ngramlm.bigrams(s, word)
+                rare = np.flatnonzero(word >= ngramlm.IDS)
+                last = rare[np.r_[s.row[1:] != s.row[:-1], True][rare]]
+                own = ngramlm.shard_of(np.r_[ngramlm.owner(before, word, gram), word[rare], word[last]], shards)
+                gram = np.r_[gram, ngramlm.key(word[rare], ngramlm.ALONE), ngramlm.key(word[last], ngramlm.LAST)]
+                doc = np.r_[s.row, s.row[rare], s.row[last]]
                 names = np.asarray(b["doc_id"].slice(first, len(part))).astype(np.int64)
-                for k in np.unique(own):
-                    at = own == k
-                    g, d, c = gram[at], doc[at], n[at].astype(np.uint32)
-                    edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                    many = np.diff(np.r_[edge, len(g)]).astype(np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), *[pa.array([x], pa.binary()) for x in (ngramlm.pack(names), ngramlm.pack_sorted(g[edge]), ngramlm.pack(many), ngramlm.pack(d), ngramlm.pack(c))]], ["shard", "docs", "gram", "many", "doc", "n"])
+                order = np.argsort(own.astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")
+                ends = np.searchsorted(own[order], np.arange(shards + 1))
+                for k in np.flatnonzero(np.diff(ends)):
+                    at = order[ends[k] : ends[k + 1]]
+                    at = at[np.argsort(gram[at], kind="stable")]  # documents stay in order within a bigram
+                    g, d = gram[at], doc[at]
+                    new = np.r_[True, g[1:] != g[:-1]]
+                    each = np.flatnonzero(new | np.r_[True, d[1:] != d[:-1]])
+                    c = np.diff(np.r_[each, len(g)]).astype(np.uint32)
+                    edge = np.flatnonzero(new[each])
+                    many = np.diff(np.r_[edge, len(each)]).astype(np.uint32)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), *[pa.array([x], pa.binary()) for x in (ngramlm.pack(names), ngramlm.pack_sorted(g[new]), ngramlm.pack(many), ngramlm.pack(d[each].astype(np.uint32)), ngramlm.pack(c))]], ["shard", "docs", "gram", "many", "doc", "n"])
 
     return run
 
 
+def _known(model: ngramlm.Model, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's keys in order and the gain of each, from its counts and rare words."""
+    row = next((r for r in rows if r["gram"] is not None), None) or _counted(0, *[np.zeros(0, np.int64)] * 5)
+    lists = [(ngramlm.unpack_sorted(r["words"], np.int64), ngramlm.unpack(r["into"], np.uint32).astype(np.int64), r["own"]) for r in rows if r["gram"] is None]
+    words = np.concatenate([np.zeros(0, np.int64), *[x[0] for x in lists]])
+    into = np.concatenate([np.zeros(0, np.int64), *[x[1] for x in lists]])
+    own = np.concatenate([np.zeros(0, bool), *[np.full(len(x[0]), x[2]) for x in lists]])
+    order = np.argsort(words, kind="stable")
+    gram = ngramlm.unpack_sorted(row["gram"], np.int64)
+    gain = model.gain(gram, ngramlm.unpack(row["n"], np.uint32).astype(np.int64))
+    keys, more = model.rare_gains(*_pairs(row), (words[order], into[order]), own[order])
+    at = np.argsort(keys)
+    return np.r_[gram, keys[at]], np.r_[gain, more[at]]
+
+
 def _gains(model: ngramlm.Model):
     """The join within a shard: documents' bigrams with trusted counts; a sum for each document."""
 
     def run(docs, counts):
         out = ([], [])
         if counts.num_rows and docs.num_rows:
-            have = ngramlm.unpack_sorted(counts["gram"][0].as_py(), np.int64)
-            gain = model.gain(have, ngramlm.unpack(counts["n"][0].as_py(), np.uint32).astype(np.int64))
+            have, gain = _known(model, counts.to_pylist())
             for names, gram, many, doc, n in zip(*[docs[c] for c in ("docs", "gram", "many", "doc", "n")], strict=True):
                 names, gram = ngramlm.unpack(names.as_py(), np.int64), ngramlm.unpack_sorted(gram.as_py(), np.int64)
                 at = np.minimum(np.searchsorted(have, gram), len(have) - 1)
@@ -153,9 +252,11 @@ def _gains(model: ngramlm.Model):
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``doc_id, n_words, loss`` of every document: the negative log probability of its whole text."""
     shards = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    model, counts = train(trusted, shards)
-    sent = docs.select("doc_id", "text").mapInArrow(_document_bigrams(model.vocabulary, model.place, shards), "shard int, docs binary, gram binary, many binary, doc binary, n binary")
-    gains = sent.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(_gains(model), "doc_id long, gain double")
+    vocabulary, place, counts, rare = counted(trusted, shards)
+    model = estimated(vocabulary, place, counts, rare)
+    known = counts.unionByName(rare.select("shard", "own", "words", "into"), allowMissingColumns=True)
+    sent = docs.select("doc_id", "text").mapInArrow(_document_bigrams(vocabulary, place, shards), "shard int, docs binary, gram binary, many binary, doc binary, n binary")
+    gains = sent.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_gains(model), "doc_id long, gain double")
     base = docs.select("doc_id", "text").mapInArrow(_backing_off(model), "doc_id long, n_words long, loss double")
     # One aggregation instead of a join: a document's gains from the shards and its row from backing off.
     parts = gains.select("doc_id", F.lit(None).cast("long").alias("n_words"), (-F.col("gain")).alias("loss")).unionByName(base)

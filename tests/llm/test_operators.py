@@ -115,6 +115,38 @@ def test_losses_against_brute_force(spark, table, prose):
         assert got[i][0] == len(t.split()) and got[i][1] == pytest.approx(want)
 
 
+def test_every_trusted_word_counts(spark, table):
+    """More words than have small ids, some after and before each other alone: losses against direct interpolated Kneser-Ney."""
+    rng = random.Random(4)
+    make = lambda: " ".join(f"w{rng.randrange(90_000)}" if rng.random() < 0.7 else f"c{int(rng.expovariate(0.2))}" for _ in range(150))
+    texts = {i: make() for i in range(1500)} | {9001: "never seen at all w3", 9002: "w77", 9003: ""}
+    docs = table(list(texts.items())).select("doc_id", "text")
+    pairs = Counter()
+    for i in range(1400):
+        w = ["", *texts[i].split()]
+        pairs.update(zip(w, w[1:], strict=False))
+    total, into, kinds = Counter(), Counter(), defaultdict(Counter)
+    for (v, w), c in pairs.items():
+        total[v] += c
+        into[w] += 1
+        kinds[v][min(c, 3)] += 1
+    assert len(into) > ngramlm.VOCABULARY
+    of, of_into = (np.bincount([min(c, 5) for c in x.values()], minlength=6) for x in (pairs, into))
+    d, less = ngramlm.discounts(of), ngramlm.discounts(of_into)
+    types = len(into) + of_into[1] ** 2 / (2 * of_into[2])
+    unknown = sum(less[min(c, 3)] for c in into.values()) / len(pairs) / types
+    share = lambda w: unknown + (into[w] - less[min(into[w], 3)]) / len(pairs) if w in into else unknown
+    assert sum(map(share, into)) + (types - len(into)) * unknown == pytest.approx(1.0)
+    got = {r["doc_id"]: r["loss"] for r in quality.perplexities(docs, docs.filter("doc_id < 1400")).collect()}
+    for i in [*range(0, 1500, 10), 9001, 9002, 9003]:
+        w, want = ["", *texts[i].split()], 0.0
+        for a, b in zip(w, w[1:], strict=False):
+            back = sum(d[k] * n for k, n in kinds[a].items()) / total[a] if a in total else 1.0
+            c = pairs.get((a, b), 0)
+            want -= np.log(back * share(b) + ((c - d[min(c, 3)]) / total[a] if c else 0.0))
+        assert got[i] == pytest.approx(want), i
+
+
 def test_noise_is_rejected_and_prose_kept(spark, table, prose):
     rng = random.Random(0)
     rows, labels = [], []
