@@ -87,8 +87,9 @@ def _candidates(window: int, seen: np.ndarray):
     return run
 
 
-def repeated(own: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, p``: every window of ``window`` words (an even number) whose sequence also starts earlier."""
+def repeated(own: DataFrame, window: int = WINDOW, firsts: bool = False) -> DataFrame:
+    """``doc_id, p``: every window of ``window`` words (an even number) whose sequence also starts earlier. With
+    ``firsts`` the earliest of equal windows too, and ``later`` tells them apart."""
     text = own.select("text")
     g = text.mapInArrow(_least_halves(window), "g long")
     twice = settle(g.groupBy("g").count().filter("count > 1").select("g"), "halves")
@@ -102,25 +103,23 @@ def repeated(own: DataFrame, window: int = WINDOW) -> DataFrame:
         place = F.struct("doc_id", "p")
     first = spots.select("h", place.alias("_at")).groupBy("h").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("h", "_first")
     first = settle(first, "firsts")
-    return spots.select("h", "doc_id", "p", place.alias("_at")).join(first, "h").filter("_at > _first").select("doc_id", "p")
+    both = spots.select("h", "doc_id", "p", place.alias("_at")).join(first, "h")
+    return both.select("doc_id", "p", F.expr("_at > _first").alias("later")) if firsts else both.filter("_at > _first").select("doc_id", "p")
 
 
 def longer_repeats(own: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, p, n_words``: repeated windows of ``window`` words, doubled until no candidates survive; a window is a
-    candidate if both its halves start earlier somewhere. Each start is given with its greatest level."""
-    level, found = repeated(own, window), None
+    """``doc_id, p, n_words``: repeated windows of ``window`` words, doubled until no candidates survive. Windows of twice
+    the length can only be equal in documents that hold a repeated window, be it the first or a later one. Each start
+    of a later one is given with its greatest level."""
+    near, found = own, None
     while True:
-        level = settle(level.withColumn("n_words", F.lit(window).cast("long")), "level")
+        level = settle(repeated(near, window, firsts=True), "level")
         if level.isEmpty():
             break
-        found = level if found is None else found.unionByName(level)
-        pairs = level.select("doc_id", "p").join(level.select("doc_id", (F.col("p") - window).alias("p")), ["doc_id", "p"])
+        later = level.filter("later").select("doc_id", "p", F.lit(window).cast("long").alias("n_words"))
+        found = later if found is None else found.unionByName(later)
+        near = own.join(level.select("doc_id").distinct(), "doc_id", "left_semi")
         window *= 2
-        marked = settle(pairs, "pairs")
-        if marked.isEmpty():
-            break
-        near = own.join(marked.select("doc_id").distinct(), "doc_id", "left_semi")
-        level = repeated(near, window).join(marked, ["doc_id", "p"], "left_semi")
     empty = own.sparkSession.createDataFrame([], "doc_id long, p int, n_words long")
     return (found or empty).groupBy("doc_id", "p").agg(F.max("n_words").alias("n_words"))
 

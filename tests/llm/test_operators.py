@@ -197,6 +197,16 @@ def test_longer_repeats_double_until_none_survive(spark, table, prose):
     assert top == {2: 80, 4: 20}
 
 
+def test_longer_repeats_of_two_copies(spark, table, prose):
+    """A passage in two documents reaches its own level, from the later one's start, and so do three copies."""
+    a, b, c, d = prose(41, 5), prose(82, 6), prose(165, 7), prose(170, 8)
+    rows = [(1, prose(9, 11) + " " + a), (2, a + " " + prose(7, 12)), (3, b), (4, prose(30, 13) + " " + b), (5, c), (6, prose(5, 14) + " " + c), (7, d), (8, d), (9, d)]
+    got = substrings.longer_repeats(table(rows).select("doc_id", "text"), 20)
+    top = {r["doc_id"]: r["m"] for r in got.groupBy("doc_id").agg(F.max("n_words").alias("m")).collect()}
+    assert top == {2: 40, 4: 80, 6: 160, 8: 160, 9: 160}
+    assert {r["p"] for r in got.filter("doc_id = 6 and n_words = 160").collect()} == set(range(5, 11))
+
+
 # Toxicity
 
 
