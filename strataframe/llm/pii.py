@@ -17,8 +17,9 @@ from .common import read, settle
 KEY = "surrogates"
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|г-н", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|г-жа"
 WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-SECRET = r'(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)) {0,3}[=:] {0,3}["' + r"']?[A-Za-z0-9+/_-]{8,200}"
+#: A local part is a whole run of its characters, from where it begins or the last entity ends, so long runs are read once.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+SECRET = r'(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)) {0,3}[=:] {0,3}["' + r"']?[A-Za-z0-9+/_-]{8,}+"
 CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 ADDRESS = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
@@ -29,7 +30,7 @@ PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-
 NAME = rf"(?:\b(?:{FEMALE}|{MALE}|Dr|Prof)\.? ){WORD}(?: {WORD})?"
 ANY = "|".join([EMAIL, SECRET, CLOUD_KEY, ADDRESS, PERSON_NUMBER, CARD, ACCOUNT, PHONE, NAME])
 #: Texts without any of these hold no entity.
-HINT = rf"\d|@|\b(?:{FEMALE}|{MALE}|Dr|Prof)\.? |(?i:password|passwd|pwd|secret|token|key)"
+HINT = rf"\d|@|\b(?:{FEMALE}|{MALE}|Dr|Prof)\.? |AKIA|ASIA|(?i:password|passwd|pwd|secret|token|key)"
 
 SYLLABLES = ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "ta", "ve", "zo", "ka", "mi", "no", "pe"]
 CYRILLIC = ["ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "та", "ве", "зо", "ка", "ми", "но", "пе"]
