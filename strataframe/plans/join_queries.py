@@ -75,14 +75,13 @@ def variogram_bins(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def variogram_fit_grid(spark: SparkSession, d: str) -> DataFrame:
-    v = places(cloud(spark, d)).filter("(xi * 31 + yi * 17) % 4 = 0")
-    return J.fitted(J.variogram(v, 50))
+    return J.fitted(J.variogram(places(cloud(spark, d)), 50))
 
 
 @query()
 def range_stability(spark: SparkSession, d: str) -> DataFrame:
     """The fitted range at three greatest lags, and whether they agree within a quarter."""
-    v = places(cloud(spark, d)).filter("(xi * 31 + yi * 17) % 4 = 0")
+    v = places(cloud(spark, d))
     fits = [J.fitted(J.variogram(v, lag)).select(F.lit(lag).alias("lag"), "nugget", "sill", "reach", "sse") for lag in (30, 50, 70)]
     every = fits[0].unionByName(fits[1]).unionByName(fits[2])
     w = Window.partitionBy(F.lit(1))  # three rows

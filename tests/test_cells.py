@@ -59,6 +59,30 @@ def test_variogram_fit_finds_the_range(spark):
     assert abs(fit["reach"] - 30) < 3 and fit["nugget"] == 0.0
 
 
+def test_variogram_of_all_pairs(spark):
+    """Bins against every pair of a small lattice with gaps, neighbours at (0, 1) and (1, 0) among them."""
+    rng = np.random.default_rng(3)
+    xy = np.array([(x, y) for x in range(24) for y in range(24) if rng.random() < 0.8])
+    z = rng.integers(0, 500, len(xy))
+    i, j = np.triu_indices(len(xy), 1)
+    d2 = ((xy[i] - xy[j]) ** 2).sum(1)
+    near = d2 <= 100
+    bin_, gap = np.minimum(np.floor(np.sqrt(d2[near]) * 12 / 10), 11).astype(int), (z[i] - z[j])[near] ** 2
+    p = spark.createDataFrame([(int(x), int(y), int(v)) for (x, y), v in zip(xy, z, strict=True)], "xi long, yi long, z long")
+    got = {r["bin"]: (r["pairs"], r["semivariance"]) for r in J.variogram(p, 10).collect()}
+    assert got == {int(k): (int((bin_ == k).sum()), pytest.approx(gap[bin_ == k].mean() / 2)) for k in np.unique(bin_) if (bin_ == k).sum() >= 30}
+
+
+def test_fitting_queries_read_all_places(spark, monkeypatch):
+    from strataframe.plans import join_queries
+
+    seen = []
+    monkeypatch.setattr(join_queries, "cloud", lambda *_: spark.range(400).selectExpr("id % 20 as xi", "id div 20 as yi", "id * 7 % 13 as zi"))
+    monkeypatch.setattr(J, "variogram", lambda points, lag, real=J.variogram: seen.append(points.count()) or real(points, lag))
+    assert join_queries.variogram_fit_grid(spark, "").count() == 1 and join_queries.range_stability(spark, "").count() == 3
+    assert seen == [400] * 4
+
+
 def test_haloed_points_reach_every_block_that_needs_them(spark):
     p = spark.createDataFrame([(10, 10), (95, 50), (105, 50)], "xi long, yi long")
     got = {(r["xi"], r["bj"], r["inner"]) for r in J.haloed(p, 100, 10).collect() if r["bi"] == 0}
