@@ -4,8 +4,9 @@ A document's log probability is the sum, over its words, of what backing off giv
 needs only tables of bounded size, and of the gain of each rare word and of each bigram that the trusted text has, which
 comes from a join of the documents' rare words and bigrams with the trusted counts, shard by shard. No word that the
 trusted text has is left out; the share of a word that it doesn't have comes from the words seen once and twice. The mean loss, drawn towards the language's own mean for short texts, is compared
-with quantiles of trusted documents of the same language that the model wasn't trained on. Losses beyond the upper
-bound (noise) and the lower bound (repetition) are rejected.
+with bounds from trusted documents of the same language: MARGIN times as far from the median as a quantile, the upper one
+of documents that the model wasn't trained on, the lower one of all. Losses beyond the upper bound (noise) and the lower
+bound (repetition) are rejected.
 """
 
 from __future__ import annotations
