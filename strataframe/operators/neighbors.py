@@ -44,17 +44,20 @@ def knn(a: DataFrame, b: DataFrame, k: int, radius: float, key: list[str], order
     return pairs.withColumn("k", rank).filter(F.col("k") <= k)
 
 
-def nearest(a: DataFrame, b: DataFrame, key: list[str], order: list[str], start: float, x: str = "xi", y: str = "yi", rounds: int = 12) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, key: list[str], order: list[str], start: float, x: str = "xi", y: str = "yi") -> DataFrame:
     """The nearest row of ``b`` for each row of ``a`` however far: rings twice as wide each round, for the rows that have
     found none. A hit within a ring is the nearest, as the join covers the whole disc."""
-    left, found = a, None
-    for i in range(rounds):
-        hit = fixed(knn(left, b, 1, start * 2**i, key, order, x, y))
+    left, found, radius = a, None, start
+    ends = [f(c).alias(f"{f.__name__}_{i}") for i, c in enumerate((x, y)) for f in (F.min, F.max)]
+    lo_x, hi_x, lo_y, hi_y = a.select(x, y).unionByName(b.select(x, y)).agg(*ends).first()  # a single row
+    extent = 0 if lo_x is None else float(hi_x - lo_x) + float(hi_y - lo_y)  # no two rows are farther apart
+    while True:
+        hit = fixed(knn(left, b, 1, radius, key, order, x, y))
         found = hit if found is None else found.unionByName(hit)
         left = fixed(left.join(hit.select(*key), key, "left_anti"))
-        if left.isEmpty():
-            break
-    return found
+        if radius >= extent or left.isEmpty():
+            return found
+        radius *= 2
 
 
 def heights_above_floor(points: DataFrame, radius: float, z: str = "z", low: float = 0.1, least: int = 3) -> DataFrame:

@@ -128,6 +128,13 @@ def test_nearest_reaches_far(spark):
     assert got == {0: (3, 25), 500: (100, 320000)}
 
 
+def test_nearest_has_no_last_ring(spark):
+    a, b = spark.createDataFrame([(0, 0), (20_000, -9000)], "xi long, yi long"), spark.createDataFrame([(1, 0)], "xi long, yi long")
+    got = {r["xi"]: (r["xi2"], r["d2"]) for r in J.nearest(a, b, ["xi", "yi"], ["xi2", "yi2"], 2).collect()}
+    assert got == {0: (1, 1), 20_000: (1, 19_999**2 + 9000**2)}
+    assert J.nearest(a, b.limit(0), ["xi", "yi"], ["xi2", "yi2"], 4000).isEmpty()
+
+
 def mound(seed=4, n=6000):
     rng = np.random.default_rng(seed)
     x, y = rng.random(n) * 60, rng.random(n) * 60
