@@ -2,59 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import delete, fixed
+
 #: ASCII white space; everything else belongs to a word.
 WHITE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; where that is unset (tests), below a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints/strataframe"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
 
 def settle(df: DataFrame, tag: str, *by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: it cuts lineage, is computed once, and
     outlives lost executors. ``by`` names columns to range-partition the files on."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    (df.repartitionByRange(*by) if by else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return fixed(df, tag, *by)
 
 
 def forget(*frames: DataFrame) -> None:
     """Delete settled tables that no later step reads."""
     for df in frames:
         for f in df.inputFiles()[:1]:
-            _delete(df.sparkSession, f.rsplit("/", 1)[0])
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session may already be gone at interpreter exit
-            return
+            delete(df.sparkSession, f.rsplit("/", 1)[0])
 
 
 def words(text: Column) -> Column:

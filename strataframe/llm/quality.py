@@ -3,10 +3,13 @@
 A document's log probability is the sum, over its words, of what backing off gives with the frequent words alone, which
 needs only tables of bounded size, and of the gain of each rare word and of each bigram that the trusted text has, which
 comes from a join of the documents' rare words and bigrams with the trusted counts, shard by shard. No word that the
-trusted text has is left out; the share of a word that it doesn't have comes from the words seen once and twice. The mean loss, drawn towards the language's own mean for short texts, is compared
-with bounds from trusted documents of the same language: MARGIN times as far from the median as a quantile, the upper one
-of documents that the model wasn't trained on, the lower one of all. Losses beyond the upper bound (noise) and the lower
-bound (repetition) are rejected.
+trusted text has is left out; the share of a word that it doesn't have comes from the words seen once and twice.
+
+Two scores come of it, both drawn towards the language's mean for short texts: the mean loss a word, which is high for
+noise, and the loss that the distinct bigrams alone bring a word, which is low for repetition (text that the model knows
+by heart counts there as average). Each is compared with the QUANTILE of trusted documents of the same language that
+the model wasn't trained on, estimated from the excesses over the TAIL quantile; languages with few such documents
+borrow from all, the more the fewer they are.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from .bloom import semi_join
 from .common import one_per_id, read, settle
 
 
-HELD_FOLDS = 5  # one in so many trusted documents sets the bounds
-QUANTILE = 0.002
-MARGIN = 2.0  # bounds lie so many times the distance from median to quantile away from the median
-PRIOR_WORDS = 50
-LEAST_HELD = 100  # a language with fewer held-out documents uses the bounds of all
+HELD_FOLDS = 2  # one in so many trusted documents sets the bounds
+QUANTILE = 1e-4  # the share of a language's trusted documents beyond each bound
+TAIL = 0.05  # the share of them whose excesses the bound is estimated from
+PRIOR_WORDS = 50  # words of average loss that each document is given
+LANGUAGE_WORDS, LANGUAGE_DOCS = 2000, 20  # by so much a language's mean and bounds are drawn to those of all
+SHARD_BYTES = 64 << 20  # of trusted text
 
 
 def _vocabulary_counts(batches):
@@ -167,16 +171,21 @@ def train(trusted: DataFrame, shards: int) -> tuple[ngramlm.Model, DataFrame]:
 
 
 def _backing_off(model: ngramlm.Model):
-    """For each document its words and the loss of backing off throughout, as if every rare word were unknown."""
+    """For each document its words, its distinct bigrams and the loss of backing off throughout, as if every rare word
+    were unknown."""
 
     def run(batches):
         for b in batches:
             for at, part in wordscan.pieces(b["text"], ngramlm.PIECE):
                 s = wordscan.scan(part)
                 word = ngramlm.ids(s, model.vocabulary, model.place)
-                before = np.minimum(ngramlm.bigrams(s, word)[0], ngramlm.IDS)
+                before, gram = ngramlm.bigrams(s, word)
+                order = np.lexsort((gram, s.row))
+                g, d = gram[order], s.row[order]
+                fresh = np.bincount(d[np.r_[True, (g[1:] != g[:-1]) | (d[1:] != d[:-1])][: len(d)]], minlength=len(part))
+                before = np.minimum(before, ngramlm.IDS)
                 loss = -np.bincount(s.row, log_back[before] + log_share[np.minimum(word, ngramlm.IDS)], len(part))
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, len(part)), pa.array(np.bincount(s.row, minlength=len(part)).astype(np.int64)), pa.array(loss.astype(np.float64))], ["doc_id", "n_words", "loss"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(at, len(part)), pa.array(np.bincount(s.row, minlength=len(part)).astype(np.int64)), pa.array(fresh.astype(np.int64)), pa.array(loss.astype(np.float64))], ["doc_id", "n_words", "n_fresh", "loss"])
 
     log_back, log_share = np.r_[model.log_back, 0.0], np.r_[model.log_share, np.log(model.unknown)]
     return run
@@ -231,71 +240,114 @@ def _known(model: ngramlm.Model, rows: list[dict]) -> tuple[np.ndarray, np.ndarr
 
 
 def _gains(model: ngramlm.Model):
-    """The join within a shard: documents' bigrams with trusted counts; a sum for each document."""
-
-    def run(docs, counts):
-        out = ([], [])
-        if counts.num_rows and docs.num_rows:
-            have, gain = _known(model, counts.to_pylist())
-            for names, gram, many, doc, n in zip(*[docs[c] for c in ("docs", "gram", "many", "doc", "n")], strict=True):
-                names, gram = ngramlm.unpack(names.as_py(), np.int64), ngramlm.unpack_sorted(gram.as_py(), np.int64)
+    """The join within a shard: documents' bigrams with trusted counts; a sum for each document of a row. A shard's
+    counts come first and stay while the documents' rows stream by."""
+
+    def run(batches):
+        shard, counts, have, gain = None, [], None, None
+        for b in batches:
+            for i in range(len(b)):
+                row = {c: b[c][i].as_py() for c in b.schema.names}
+                if row["shard"] != shard:
+                    shard, counts, have = row["shard"], [], None
+                if not row["asks"]:
+                    counts.append(row)
+                    continue
+                if have is None:
+                    have, gain = _known(model, counts)
+                    counts = []
+                if not len(have):
+                    continue
+                names, gram = ngramlm.unpack(row["docs"], np.int64), ngramlm.unpack_sorted(row["gram"], np.int64)
                 at = np.minimum(np.searchsorted(have, gram), len(have) - 1)
-                value = np.repeat(np.where(have[at] == gram, gain[at], 0.0), ngramlm.unpack(many.as_py(), np.uint32))
-                total = np.bincount(ngramlm.unpack(doc.as_py(), np.uint32), value * ngramlm.unpack(n.as_py(), np.uint32), len(names))
+                value = np.repeat(np.where(have[at] == gram, gain[at], 0.0), ngramlm.unpack(row["many"], np.uint32))
+                total = np.bincount(ngramlm.unpack(row["doc"], np.uint32), value * ngramlm.unpack(row["n"], np.uint32), len(names))
                 some = np.flatnonzero(total)
-                out[0].append(names[some])
-                out[1].append(total[some])
-        return pa.table({"doc_id": pa.array(np.concatenate([np.zeros(0, np.int64), *out[0]])), "gain": pa.array(np.concatenate([np.zeros(0), *out[1]]))})
+                yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(total[some])], ["doc_id", "gain"])
 
     return run
 
 
+def shards_for(trusted: DataFrame) -> int:
+    """Shards of about SHARD_BYTES of trusted text, so that the counts of one fit in a task however much there is."""
+    size = trusted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(16, -(-size // SHARD_BYTES))
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``doc_id, n_words, loss`` of every document: the negative log probability of its whole text."""
-    shards = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    """``doc_id, n_words, n_fresh, loss`` of every document: its words, its distinct bigrams and the negative log
+    probability of its whole text."""
+    shards = shards_for(trusted)
     vocabulary, place, counts, rare = counted(trusted, shards)
     model = estimated(vocabulary, place, counts, rare)
-    known = counts.unionByName(rare.select("shard", "own", "words", "into"), allowMissingColumns=True)
+    known = counts.unionByName(rare.select("shard", "own", "words", "into"), allowMissingColumns=True).withColumn("asks", F.lit(False))
     sent = docs.select("doc_id", "text").mapInArrow(_document_bigrams(vocabulary, place, shards), "shard int, docs binary, gram binary, many binary, doc binary, n binary")
-    gains = sent.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_gains(model), "doc_id long, gain double")
-    base = docs.select("doc_id", "text").mapInArrow(_backing_off(model), "doc_id long, n_words long, loss double")
+    both = known.unionByName(sent.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    gains = both.repartition(shards, "shard").sortWithinPartitions("shard", "asks").mapInArrow(_gains(model), "doc_id long, gain double")
+    base = docs.select("doc_id", "text").mapInArrow(_backing_off(model), "doc_id long, n_words long, n_fresh long, loss double")
     # One aggregation instead of a join: a document's gains from the shards and its row from backing off.
-    parts = gains.select("doc_id", F.lit(None).cast("long").alias("n_words"), (-F.col("gain")).alias("loss")).unionByName(base)
-    return parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sum("loss").alias("loss"))
+    nothing = F.lit(None).cast("long")
+    parts = gains.select("doc_id", nothing.alias("n_words"), nothing.alias("n_fresh"), (-F.col("gain")).alias("loss")).unionByName(base)
+    return parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("n_fresh").alias("n_fresh"), F.sum("loss").alias("loss"))
+
+
+def scores(mean) -> list:
+    """Of a document with words: how far its loss a word lies above its language's mean, and how far the loss that its
+    distinct bigrams bring lies below it."""
+    fresh = F.greatest(F.col("loss") / F.col("n_words"), mean) * F.col("n_fresh")
+    drawn = lambda x: (x + PRIOR_WORDS * mean) / (F.col("n_words") + PRIOR_WORDS)
+    return [(drawn(F.col("loss")) - mean).alias("noise"), (mean - drawn(fresh)).alias("echo")]
+
+
+def _beyond(sample: DataFrame, *by: str) -> DataFrame:
+    """The QUANTILE of ``noise`` and ``echo``: the TAIL quantile and, as excesses over it fall off exponentially, their
+    mean times the log of the ratio of both shares."""
+    kinds = ("noise", "echo")
+    edge = sample.groupBy(*by).agg(*[F.percentile_approx(c, 1 - TAIL, 10000).alias(f"_{c}") for c in kinds], F.count(F.lit(1)).alias("k"))
+    both = sample.join(edge, list(by)) if by else sample.crossJoin(F.broadcast(edge))  # a single row
+    excess = lambda c: F.coalesce(F.avg(F.when(F.col(c) > F.col(f"_{c}"), F.col(c) - F.col(f"_{c}"))), F.lit(0.0))
+    return both.groupBy(*by).agg(F.first("k").alias("k"), *[(F.first(f"_{c}") + excess(c) * float(np.log(TAIL / QUANTILE))).alias(f"most_{c}") for c in kinds])
+
+
+def bounds(sure: DataFrame) -> tuple[DataFrame, float, float, float] | None:
+    """``lang, mean, most_noise, most_echo`` from documents ``lang, n_words, n_fresh, loss``, and the three of all
+    languages together; None without any."""
+    loss, n = sure.agg(F.sum("loss"), F.sum("n_words")).first()  # two numbers
+    if not n:
+        return None
+    mean = float(loss) / n
+    by = sure.filter("lang is not null").groupBy("lang").agg(((F.sum("loss") + LANGUAGE_WORDS * mean) / (F.sum("n_words") + LANGUAGE_WORDS)).alias("mean"))
+    sample = sure.join(by, "lang", "left")
+    sample = settle(sample.select("lang", *scores(F.coalesce("mean", F.lit(mean)))), "sample")
+    pooled = _beyond(sample).first()  # three numbers
+    near = lambda c: ((F.col("k") * F.col(c) + LANGUAGE_DOCS * F.lit(pooled[c])) / (F.col("k") + LANGUAGE_DOCS)).alias(c)
+    each = _beyond(sample.filter("lang is not null"), "lang").select("lang", near("most_noise"), near("most_echo"))
+    return settle(by.join(each, "lang"), "bounds"), mean, pooled["most_noise"], pooled["most_echo"]
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, lang, n_words, perplexity, score, kept`` for every document. ``labels`` marks trusted documents with
-    quality 1; one in HELD_FOLDS of them sets the bounds, the others train the model.
+    """``doc_id, lang, n_words, perplexity, noise, echo, kept`` for every document. ``labels`` marks trusted documents
+    with quality 1; one in HELD_FOLDS of them sets the bounds, the others train the model.
 
     Nulls: a null text has no words; a text without words has no perplexity and is kept, as there is no evidence against
-    it. A null language, or one with too few held-out documents, uses the bounds of all languages; without trusted text
+    it. A null language, or one without held-out documents, uses the bounds of all languages; without trusted text
     everything is kept. Rows without doc_id are no documents; of rows that share one the least by text and language
     stays. Other columns are ignored. An empty table gives an empty result."""
     own = one_per_id(docs, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
-    good = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1")
+    good = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_FOLDS)) == 0
     trusted = settle(semi_join(own.select("doc_id", "text"), good.filter(~held), "doc_id"), "trusted")
     scored = settle(perplexities(own, trusted).join(own.select("doc_id", "lang"), "doc_id"), "scored")
-
-    told = scored.join(good.select("doc_id", held.alias("_held")), "doc_id", "left")
-    sure = told.filter("_held is not null and n_words > 0").withColumn("_g", F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("lang").alias("lang")), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("lang"))))).select("n_words", "loss", "_held", "_g.all", "_g.lang")
-    sure = sure.filter("all or lang is not null")
-    means = sure.filter("_held").groupBy("all", "lang").agg((F.sum("loss") / F.sum("n_words")).alias("mean"), F.count(F.lit(1)).alias("k")).filter(F.col("all") | (F.col("k") >= LEAST_HELD))
-    drawn = lambda mean: (F.col("loss") + PRIOR_WORDS * mean) / (F.col("n_words") + PRIOR_WORDS)
-    key = means.select(F.col("all").alias("_all"), F.coalesce("lang", F.lit("")).alias("_lang"), "mean")
-    again = sure.join(key, (F.col("all") == F.col("_all")) & (F.coalesce("lang", F.lit("")) == F.col("_lang"))).select("all", "lang", "mean", "_held", drawn(F.col("mean")).alias("s"))
-    # What the model was trained on has lower losses: it counts for the lower bound, not for the upper one.
-    low = F.percentile_approx("s", [QUANTILE, 0.5], 10000).alias("low")
-    high = F.percentile_approx(F.when(F.col("_held"), F.col("s")), [0.5, 1 - QUANTILE], 10000).alias("high")
-    beyond = lambda q, i: F.col(q)[1 - i] + MARGIN * (F.col(q)[i] - F.col(q)[1 - i])
-    bounds = settle(again.groupBy("all", "lang", "mean").agg(low, high).select("all", "lang", "mean", beyond("low", 0).alias("lo"), beyond("high", 1).alias("hi")), "bounds")
-    by_lang = bounds.filter("not all").select("lang", "mean", "lo", "hi")
-    rest = bounds.filter("all").select(F.lit(1).alias("_one"), F.col("mean").alias("_mean"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))  # a single row
-    full = scored.join(by_lang, "lang", "left").withColumn("_one", F.lit(1)).join(F.broadcast(rest), "_one", "left")
-    full = full.select("doc_id", "lang", "n_words", "loss", *[F.coalesce(c, f"_{c}").alias(c) for c in ("mean", "lo", "hi")])
-    full = full.withColumn("score", F.when(F.col("n_words") > 0, drawn(F.col("mean"))))
-    return full.select("doc_id", "lang", "n_words", F.when(F.col("n_words") > 0, F.exp(F.col("loss") / F.col("n_words"))).alias("perplexity"), "score", F.coalesce(F.col("score").between(F.col("lo"), F.col("hi")), F.lit(True)).alias("kept"))
+    found = bounds(scored.join(good.filter(held), "doc_id", "left_semi").filter("n_words > 0").select("lang", "n_words", "n_fresh", "loss"))
+    some = F.col("n_words") > 0
+    cols = ["doc_id", "lang", "n_words", F.when(some, F.exp(F.col("loss") / F.col("n_words"))).alias("perplexity")]
+    if found is None:
+        return scored.select(*cols, *[F.lit(None).cast("double").alias(c) for c in ("noise", "echo")], F.lit(True).alias("kept"))
+    by_lang, mean, most_noise, most_echo = found
+    full = scored.join(by_lang, "lang", "left").withColumn("mean", F.coalesce("mean", F.lit(mean)))
+    noise, echo = (F.when(some, c) for c in scores(F.col("mean")))
+    within = (noise <= F.coalesce("most_noise", F.lit(most_noise))) & (echo <= F.coalesce("most_echo", F.lit(most_echo)))
+    return full.select(*cols, noise.alias("noise"), echo.alias("echo"), F.coalesce(within, F.lit(True)).alias("kept"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ equal windows of twenty words hold the same least one. Level 20: only windows wh
 extended to twice that length and compared, and the earliest of equal ones is found. ``longer_repeats`` goes on doubling
 until no candidates survive.
 
-Which half-windows were seen twice reaches the documents as a Bloom filter of fixed size; what it lets through too much
-the next level removes.
+Which half-windows were seen twice reaches the documents as a Bloom filter with BITS_A_KEY bits for each; what it lets
+through too much the next level removes. Too many for one filter are divided by their hash, and the documents are read
+once for each part.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from .common import forget, one_per_id, read, settle
 
 
 WINDOW = 20
-FILTER_BITS = 24
-#: A window's place as one number: doc_id, then the position of its first word.
-POSITION_BITS = 26
+PIECE = 1 << 20  # bytes of text hashed at a time
+BITS_A_KEY = 16
+#: The largest filter that travels with a function: 2 ** 27 bits, 16 MB, for eight million keys.
+MOST_BITS = 27
 
 
 def halves(s: wordscan.Scan, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,41 +46,49 @@ def halves(s: wordscan.Scan, window: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def _least_halves(window: int):
     def run(batches):
         for b in batches:
-            for _, part in wordscan.pieces(b["text"]):
+            for _, part in wordscan.pieces(b["text"], PIECE):
                 h, _, _, chosen = halves(wordscan.scan(part), window)
                 yield pa.RecordBatch.from_arrays([wordscan.as_long(h[chosen])], ["g"])
 
     return run
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+class Filter:
+    """A Bloom filter of hashes that are ``part`` modulo ``parts``: 2 ** ``bits`` bits, packed; two for each hash."""
 
+    def __init__(self, bits: int, part: int, parts: int):
+        self.bits, self.part, self.parts = bits, part, parts
+        self.packed = np.zeros(1 << max(bits - 3, 2), np.uint8)
 
-def _passed(seen: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = _bits(h)
-    return ((seen[a >> 3] >> (a & 7).astype(np.uint8)) & (seen[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+    @staticmethod
+    def of(keys: DataFrame, n: int, part: int = 0, parts: int = 1) -> Filter:
+        """The filter of column g of ``keys``, of which ``n`` are expected; made by the executors, word by word."""
+        out = Filter(min(MOST_BITS, max(10, (n * BITS_A_KEY).bit_length())), part, parts)
+        own = keys.filter(F.pmod("g", F.lit(parts)) == part) if parts > 1 else keys
+        bits = [F.shiftrightunsigned("g", 64 - out.bits), F.shiftrightunsigned("g", 8).bitwiseAND(F.lit((1 << out.bits) - 1))]
+        each = own.select(F.explode(F.array(*bits)).alias("b"))
+        rows = each.groupBy(F.expr("b div 32").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("v")).toArrow()  # at most 2 ** (MOST_BITS - 5) rows
+        words = np.zeros(1 << (out.bits - 5), np.uint32)
+        words[rows["w"].to_numpy()] = rows["v"].to_numpy().astype(np.uint32)
+        out.packed = words.view(np.uint8)
+        return out
 
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        a = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        b = ((h >> np.uint64(8)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        hit = ((self.packed[a >> 3] >> (a & 7).astype(np.uint8)) & (self.packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+        return hit & (h.view(np.int64) % self.parts == self.part) if self.parts > 1 else hit
 
-def _filter(twice: DataFrame) -> np.ndarray:
-    """A Bloom filter of column g, packed; its size does not depend on the rows."""
-    bits = [F.shiftrightunsigned("g", 64 - FILTER_BITS), F.shiftrightunsigned("g", 8).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))]
-    each = twice.select(F.explode(F.array(*bits)).alias("b"))
-    rows = each.groupBy(F.expr("b div 32").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("v")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[rows["w"].to_numpy()] = rows["v"].to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
 
-
-def _candidates(window: int, seen: np.ndarray):
+def _candidates(window: int, seen: Filter):
     def run(batches):
         for b in batches:
             ids = b["doc_id"].to_numpy(zero_copy_only=False)
-            for at, part in wordscan.pieces(b["text"]):
+            for at, part in wordscan.pieces(b["text"], PIECE):
                 s = wordscan.scan(part)
                 h, low, inside, _ = halves(s, window)
                 at_word = np.flatnonzero(inside)
-                at_word = at_word[_passed(seen, low[at_word])]
+                at_word = at_word[seen.may_hold(low[at_word])]
                 if len(at_word):
                     row = s.row[at_word]
                     twice = wordscan.joined(h[at_word], h[at_word + window // 2])
@@ -93,14 +103,18 @@ def repeated(own: DataFrame, window: int = WINDOW, firsts: bool = False) -> Data
     text = own.select("text")
     g = text.mapInArrow(_least_halves(window), "g long")
     twice = settle(g.groupBy("g").count().filter("count > 1").select("g"), "halves")
-    seen = _filter(twice)
+    n = twice.count()
+    parts = max(1, -(-n * BITS_A_KEY >> MOST_BITS))
+    spots = None
+    for k in range(parts):
+        seen = Filter.of(twice, n // parts, k, parts)
+        some = settle(own.select("doc_id", "text").mapInArrow(_candidates(window, seen), "h long, doc_id long, p int"), "windows")
+        spots = some if spots is None else spots.unionByName(some)
     forget(twice)
-    spots = settle(own.select("doc_id", "text").mapInArrow(_candidates(window, seen), "h long, doc_id long, p int"), "windows")
-    lo, hi = spots.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if lo is None or (lo >= 0 and hi < 1 << (63 - POSITION_BITS)):
-        place = F.shiftleft("doc_id", POSITION_BITS) + F.col("p")
-    else:
-        place = F.struct("doc_id", "p")
+    # A window's place, in order: one number if document and position fit in 63 bits, else both.
+    lo, hi, most = spots.agg(F.min("doc_id"), F.max("doc_id"), F.max("p")).first()
+    bits = int(most or 0).bit_length()
+    place = F.shiftleft(F.col("doc_id") - F.lit(lo or 0), bits) + F.col("p") if lo is None or int(hi - lo).bit_length() + bits < 63 else F.struct("doc_id", "p")
     first = spots.select("h", place.alias("_at")).groupBy("h").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("h", "_first")
     first = settle(first, "firsts")
     both = spots.select("h", "doc_id", "p", place.alias("_at")).join(first, "h")
@@ -154,7 +168,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     own = one_per_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     at = settle(repeated(own, window).groupBy("doc_id").agg(F.collect_list("p").alias("at")), "places")
     # Only texts that may lose words are moved to their places; the others are read where they are.
-    marked = bloom.probed(own, "doc_id", bloom.bloom(at, "doc_id"))
+    marked = bloom.sifted(own, at, "doc_id")
     moved = marked.filter("_maybe").join(at, "doc_id", "left").select("doc_id", "text", "at")
     rest = marked.filter("not _maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("at"))
     return moved.unionByName(rest).mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, text string")

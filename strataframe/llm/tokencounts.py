@@ -2,7 +2,7 @@
 
 Sections are given as spans of the text; by default they are its lines, each with the line end that closes it. Tokens and
 sections are both in order, so their spans are joined by binary search on the boundaries. The rule for a token
-that crosses a boundary: it belongs to the section that holds most of its bytes, of equal ones to the first.
+that crosses a boundary: it belongs to the section that holds most of its bytes, of equal ones to the last.
 """
 
 from __future__ import annotations
@@ -43,15 +43,15 @@ def lines(data: np.ndarray) -> np.ndarray:
 
 
 def attribute(ends: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each section the tokens that belong to it and how many of them cross a boundary. ``ends``: where tokens end,
-    in bytes, in order and without gaps; ``bounds``: where sections begin."""
+    """For each section the tokens that belong to it and how many of them cross a boundary; of sections with equally many
+    bytes of a token the last has it, as it holds where the token ends. ``ends``: where tokens end, in bytes, in order and without gaps; ``bounds``: where sections begin."""
     starts = np.r_[0, ends[:-1]].astype(np.int64)
     first, last = np.searchsorted(bounds, starts, side="right") - 1, np.searchsorted(bounds, ends - 1, side="right") - 1
     cross = np.flatnonzero(first != last)
     stops = np.r_[bounds[1:], size]
     own = first.copy()
     for t in cross:
-        span = np.arange(first[t], last[t] + 1)
+        span = np.arange(last[t], first[t] - 1, -1)
         own[t] = span[np.argmax(np.minimum(stops[span], ends[t]) - np.maximum(bounds[span], starts[t]))]
     return np.bincount(own, minlength=len(bounds)), np.bincount(own[cross], minlength=len(bounds))
 

@@ -1,8 +1,7 @@
 """URL filters: rules by host and path, and a block list behind a blocked Bloom filter [DataFrame functions only].
 
-Listed canonical URLs are hashed into a filter of ``blocks`` blocks of 256 bits. The filter has at most ``blocks`` rows
-whatever the list's length, so it is broadcast; it passes every listed URL and some others. Only what passes is joined
-with the list itself, which removes the others.
+Listed canonical URLs are hashed into a filter that is sized from their number; it passes every listed URL and about one
+in a hundred others. Only what passes is joined with the list itself, which removes the others.
 """
 
 from __future__ import annotations
@@ -37,18 +36,18 @@ def fits(host: Column, rule_host: str) -> Column:
     return (host == rule_host) | host.endswith("." + rule_host)
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = bloom.BLOCKS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages``; ``listed`` holds host and path of listed URLs.
 
     A null url, or one without ``://``, has an empty host and path; it is allowed unless the empty URL is listed. Rows
     are kept as they are, repeated page_ids and null page_ids too; other columns are ignored. An empty list blocks
-    nothing beyond the rules."""
+    nothing beyond the rules. ``blocks`` sets the filter's size, which is else that of the list."""
     ranked = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
     seen = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule = lambda value: F.coalesce(*[F.when(fits(F.col("host"), h) & F.col("path").startswith(p), F.lit(value(h, p, v))) for h, p, v in ranked])
     seen = seen.withColumn("rule", rule(lambda h, p, v: h + p)).withColumn("_ruled", rule(lambda h, p, v: v)).withColumn("_url", canonical(F.col("host"), F.col("path")))
     urls = listed.select(canonical(F.col("host"), F.col("path")).alias("_url")).distinct()
-    probe = bloom.probed(seen, "_url", bloom.bloom(urls, "_url", blocks), blocks).withColumn("_maybe", F.col("_maybe") & F.col("_ruled").isNull())
+    probe = bloom.sifted(seen, urls, "_url", blocks).withColumn("_maybe", F.col("_maybe") & F.col("_ruled").isNull())
     sure = probe.filter(~F.col("_maybe")).select("page_id", "host", "path", "rule", F.coalesce("_ruled", F.lit("allow")).alias("verdict"))
     found = probe.filter("_maybe").join(urls.withColumn("_in", F.lit(True)), "_url", "left")
     return sure.unionByName(found.select("page_id", "host", "path", "rule", F.when(F.col("_in"), "block").otherwise("allow").alias("verdict")))
