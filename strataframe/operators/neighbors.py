@@ -45,17 +45,35 @@ def knn(a: DataFrame, b: DataFrame, k: int, radius: float, key: list[str], order
 
 
 def nearest(a: DataFrame, b: DataFrame, key: list[str], order: list[str], start: float, x: str = "xi", y: str = "yi") -> DataFrame:
-    """The nearest row of ``b`` for each row of ``a`` however far: rings twice as wide each round, for the rows that have
-    found none. A hit within a ring is the nearest, as the join covers the whole disc."""
+    """The nearest row of ``b`` for each row of ``a`` however far."""
+    return nearest_k(a, b, 1, key, order, start, x, y).drop("d")
+
+
+def nearest_k(a: DataFrame, b: DataFrame, k: int, key: list[str], order: list[str], start: float, x: str = "xi", y: str = "yi", height: str | None = None, apart: bool = False) -> DataFrame:
+    """The ``k`` nearest rows of ``b`` for each row of ``a`` however far, all of them where ``b`` has fewer: the columns
+    of the pair, ``d2``, the squared distance ``d`` and the rank ``k``. ``key``: unique columns of ``a``; ``height``: a column
+    in tenths of the others' unit that counts too; ``apart``: a row is no neighbour of itself.
+
+    Discs twice as wide each round, for the rows that have not found theirs. A row is done when its k-th neighbour is no
+    farther than the disc is wide, as all that are nearer lie in the disc, or when the disc covers both tables."""
     left, found, radius = a, None, start
     ends = [f(c).alias(f"{f.__name__}_{i}") for i, c in enumerate((x, y)) for f in (F.min, F.max)]
     lo_x, hi_x, lo_y, hi_y = a.select(x, y).unionByName(b.select(x, y)).agg(*ends).first()  # a single row
     extent = 0 if lo_x is None else float(hi_x - lo_x) + float(hi_y - lo_y)  # no two rows are farther apart
+    rise = (F.col(f"{height}2") - F.col(height)) / 10.0 if height else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("d", *order))
     while True:
-        hit = fixed(knn(left, b, 1, radius, key, order, x, y))
-        found = hit if found is None else found.unionByName(hit)
-        left = fixed(left.join(hit.select(*key), key, "left_anti"))
-        if radius >= extent or left.isEmpty():
+        pairs = radius_pairs(left, b, radius, x, y).withColumn("d", F.col("d2") + rise * rise if height else F.col("d2"))
+        if apart:
+            pairs = pairs.filter(" or ".join(f"{c} <> {c}2" for c in key))
+        hit = fixed(pairs.withColumn("k", rank).filter(F.col("k") <= k))
+        last = radius >= extent
+        done = hit if last else hit.join(hit.filter((F.col("k") == k) & (F.col("d") <= radius * radius)).select(*key), key, "left_semi")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found
+        left = fixed(left.join(done.select(*key).distinct(), key, "left_anti"))
+        if left.isEmpty():
             return found
         radius *= 2
 

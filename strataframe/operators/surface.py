@@ -41,7 +41,7 @@ def drift(dx: np.ndarray, dy: np.ndarray, order: int) -> np.ndarray:
 
 
 #: By how much of the neighbours' range an estimate may leave it before inverse distance steps in.
-GUARDS = {"range": 0.0, "widened": 0.5, "none": np.inf}
+GUARDS = {"range": 0.0, "widened": 1.0, "none": np.inf}
 
 
 def krige_stack(dx: np.ndarray, dy: np.ndarray, z: np.ndarray, variogram: tuple, order: int = 0, ridge: float = 1e-6, guard: str = "range") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,18 +274,37 @@ def slope_adaptive(data: np.ndarray, cell: float, knee: float = 20.0, beta: floa
     return minimum_curvature(data, np.where(soft, tightness * cell / np.where(soft, slack, 1.0), exact)), int(soft.sum())
 
 
-def gated(data: np.ndarray, cell: float, slope: float = 0.36, bend: float = 0.05, width: float = 0.25, low: float = 4.0, high: float = 1e4) -> tuple[np.ndarray, int]:
-    """The surface through all data, then again with weights between ``high`` and ``low``, falling geometrically where
-    it is steep or bent: a logistic gate on each, joined as a smooth union."""
+#: The slope (degrees) and steepness of the slope's logistic; the window (metres), the relief across it that
+#: makes a break and the steepness of the curvature's; the window (metres) that slopes are read over; least and most weight.
+GATE = {"slope": 5.5, "slope_gain": 1.2, "window": 1.5, "relief": 0.1, "bend_gain": 6.0, "slope_window": 5.0, "low": 4.0, "high": 1e4}
+
+
+def held(first: np.ndarray, cell: float, gate: dict = GATE) -> np.ndarray:
+    """How firmly a surface's data hold it, from 0 to 1: firmly where it is flat, or where it bends, be it ever so
+    steep; a broad smooth hillside is let go. Both are logistic gates, read over windows that a single cell doesn't
+    sway, and joined as a smooth union."""
+    from .ground import blur
+
+    gentle, fine = (blur(first, gate[w] / cell / 2) for w in ("slope_window", "window"))
+    steep = np.degrees(np.arctan(np.hypot(*np.gradient(gentle, cell))))
+    p = np.pad(fine, 1, mode="symmetric")
+    bend = np.abs(p[2:, 1:-1] + p[:-2, 1:-1] + p[1:-1, 2:] + p[1:-1, :-2] - 4 * fine) / cell**2
+    logistic = lambda t: 1 / (1 + np.exp(np.clip(t, -60, 60)))
+    flat = logistic(gate["slope_gain"] * (steep - gate["slope"]))
+    broken = logistic(gate["bend_gain"] * (1 - bend * gate["window"] ** 2 / (2 * gate["relief"])))
+    return 1 - (1 - flat) * (1 - broken)
+
+
+def gated(data: np.ndarray, cell: float, gate: dict = GATE) -> tuple[np.ndarray, int]:
+    """The surface through all data, then again with weights that fall geometrically from ``high`` to ``low`` as the data
+    are held less firmly. Returns it and how many cells were relaxed."""
     has = np.isfinite(data)
     first = minimum_curvature(data, np.where(has, np.inf, 0.0))
     if not has.any() or min(data.shape) < 3:
         return first, 0
-    gy, gx = np.gradient(first, cell)
-    lap = np.abs(np.gradient(gy, cell)[0] + np.gradient(gx, cell)[1])
-    gate = lambda v, at: 1 / (1 + np.exp(-np.clip((v / at - 1) / width, -50, 50)))
-    either = 1 - (1 - gate(np.hypot(gx, gy), slope)) * (1 - gate(lap, bend))
-    return minimum_curvature(data, np.where(has, high ** (1 - either) * low**either, 0.0)), int((has & (either > 0.5)).sum())
+    firm = held(first, cell, gate)
+    weight = gate["low"] * (gate["high"] / gate["low"]) ** firm
+    return minimum_curvature(data, np.where(has, weight, 0.0)), int((has & (firm <= 0.5)).sum())
 
 
 def pooled(total: np.ndarray, count: np.ndarray, sigma: float) -> np.ndarray:

@@ -103,11 +103,8 @@ def two_passes(spark: SparkSession, d: str) -> DataFrame:
 def ground_by_strip(spark: SparkSession, d: str) -> DataFrame:
     """Each strip classified on its own: how well the results agree."""
     p = cloud(spark, d).select("xi", "yi", "zi", "psid")
-    every = None
-    for s in range(1, 8):
-        got = Gd.classified(p.filter(F.col("psid") == s), "smrf").groupBy("psid").agg(one().alias("n"), F.count_if("is_ground").alias("ground"))
-        every = got if every is None else every.unionByName(got)
-    return every
+    got = Gd.classified_by(p, "psid", "smrf")
+    return got.groupBy("psid").agg(one().alias("n"), F.count_if("is_ground").alias("ground"))
 
 
 @query(P + """, w AS (SELECT *, lead(zi) OVER o - zi AS gap, row_number() OVER o AS k FROM p WINDOW o AS (PARTITION BY yi // 100, xi // 100 ORDER BY zi, xi, yi, psid)),
