@@ -127,12 +127,13 @@ def model(name: str, h: Column, nugget: Column, sill: Column, reach: Column) ->
 
 
 def fitted(bins: DataFrame, name: str = "spherical", ranges: int = 24) -> DataFrame:
-    """The parameters (nugget, sill, reach) of least squared error among ``ranges`` ranges and three nuggets."""
+    """The parameters (nugget, sill, reach) of least squared error among ``ranges`` ranges and three nuggets; ``sse``: that
+    error, in squares of the greatest semivariance."""
     top = bins.agg(F.max("semivariance").alias("_s"), F.max("lag").alias("_l"))  # a single row
     grid = top.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(ranges)))).withColumn("_n", F.explode(F.array(F.lit(0.0), F.lit(0.05), F.lit(0.2))))
-    grid = grid.select(F.round(F.col("_n") * F.col("_s"), 6).alias("nugget"), F.round((1 - F.col("_n")) * F.col("_s"), 6).alias("sill"), F.round(F.col("_l") * F.col("_i") / ranges, 6).alias("reach"))
+    grid = grid.select("_s", F.round(F.col("_n") * F.col("_s"), 6).alias("nugget"), F.round((1 - F.col("_n")) * F.col("_s"), 6).alias("sill"), F.round(F.col("_l") * F.col("_i") / ranges, 6).alias("reach"))
     off = F.col("semivariance") - model(name, F.col("lag"), F.col("nugget"), F.col("sill"), F.col("reach"))
-    error = bins.join(F.broadcast(grid)).groupBy("nugget", "sill", "reach").agg(F.round(F.sum(off * off), 3).alias("sse"))  # a few dozen rows
+    error = bins.join(F.broadcast(grid)).groupBy("nugget", "sill", "reach").agg(F.round(F.sum(off * off) / F.first(F.col("_s") * F.col("_s")), 9).alias("sse"))  # a few dozen rows
     return error.orderBy("sse", "reach", "nugget").limit(1)
 
 

@@ -157,6 +157,15 @@ def lag_pairs(cells: DataFrame, offsets: list[tuple], *more: str) -> DataFrame:
     return cells.select("row", "col", "z").join(other, ["row", "col"])
 
 
+def about_plane(cells: DataFrame) -> DataFrame:
+    """``row, col, z``: what is left of z about the least-squares plane through all cells, from their second moments."""
+    pop = lambda a, b: F.covar_pop(a, b)
+    m = cells.agg(pop("col", "col").alias("cc"), pop("row", "row").alias("rr"), pop("col", "row").alias("cr"), pop("col", "z").alias("cz"), pop("row", "z").alias("rz"), F.avg("z").alias("mz"), F.avg("col").alias("mc"), F.avg("row").alias("mr"))  # a single row
+    det = F.col("cc") * F.col("rr") - F.col("cr") * F.col("cr")
+    a, b = (F.col("cz") * F.col("rr") - F.col("rz") * F.col("cr")) / det, (F.col("rz") * F.col("cc") - F.col("cz") * F.col("cr")) / det
+    return cells.crossJoin(F.broadcast(m)).select("row", "col", (F.col("z") - F.col("mz") - a * (F.col("col") - F.col("mc")) - b * (F.col("row") - F.col("mr"))).alias("z"))
+
+
 def bilinear(samples: DataFrame, cells: DataFrame, z: str = "z") -> DataFrame:
     """``samples`` (id, r, c in cell units) with the value between the four cells around; null unless all four are there."""
     s = samples.withColumns({"_r": F.floor("r"), "_c": F.floor("c")}).withColumns({"_fr": F.col("r") - F.col("_r"), "_fc": F.col("c") - F.col("_c")})
@@ -176,9 +185,8 @@ def hillshade(grid: DataFrame, height: int, width: int, cell: float, directions:
     return g.withColumn("shade", sum(lit[1:], lit[0]) / directions)
 
 
-def horizons(cells: DataFrame, cell: float, directions: int = 16, reach: int = 10) -> DataFrame:
-    """``row, col, svf, open``: sky-view factor and positive openness (degrees) from the highest angle in each direction,
-    one equi-join on shifted cells. Directions without data count as level."""
+def rays(cell: float, directions: int = 16, reach: int = 10) -> list[tuple[int, int, int, float]]:
+    """(direction, rows, cols, distance) of the cells that the directions' rays pass."""
     steps = {}
     for k in range(directions):
         a = 2 * math.pi * k / directions
@@ -186,7 +194,13 @@ def horizons(cells: DataFrame, cell: float, directions: int = 16, reach: int = 1
             o = round(s * math.cos(a)), round(s * math.sin(a))
             if o != (0, 0):
                 steps[k, *o] = math.hypot(*o) * cell
-    offsets = [(-dr, -dc, k, dist) for (k, dr, dc), dist in steps.items()]
+    return [(*o, dist) for o, dist in steps.items()]
+
+
+def horizons(cells: DataFrame, cell: float, directions: int = 16, reach: int = 10) -> DataFrame:
+    """``row, col, svf, open``: sky-view factor and positive openness (degrees) from the highest angle in each direction,
+    one equi-join on shifted cells. Directions without data count as level."""
+    offsets = [(-dr, -dc, k, dist) for k, dr, dc, dist in rays(cell, directions, reach)]
     pair = lag_pairs(cells, offsets, "k", "dist")
     each = pair.groupBy("row", "col", "k").agg(F.max((F.col("z2") - F.col("z")) / F.col("dist")).alias("t"))
     got = each.groupBy("row", "col").agg(F.sum(F.sin(F.atan(F.greatest(F.col("t"), F.lit(0.0))))).alias("_s"), F.sum(F.degrees(F.atan("t"))).alias("_a"))

@@ -67,22 +67,38 @@ def height_above_plane(spark: SparkSession, d: str) -> DataFrame:
     return J.heights_above_plane(places(cloud(spark, d)), 12)
 
 
-@query(Q + f", v AS (SELECT * FROM q WHERE (xi * 31 + yi * 17) % 4 = 0) SELECT least(floor(sqrt((b.xi - a.xi) * (b.xi - a.xi) + (b.yi - a.yi) * (b.yi - a.yi)) * 12 / 50), 11)::BIGINT AS bin, count(*) AS pairs, round(sum((a.z - b.z) * (a.z - b.z))::DOUBLE / (2 * count(*)), 6) AS semivariance FROM v a JOIN v b ON {_near(50)} AND (a.xi < b.xi OR (a.xi = b.xi AND a.yi < b.yi)) GROUP BY 1 HAVING count(*) >= 30")
+def pairs_sql(lag: int, least: int = 30) -> str:
+    """Bins of the pairs of ``q`` up to a lag."""
+    d2 = "(b.xi - a.xi) * (b.xi - a.xi) + (b.yi - a.yi) * (b.yi - a.yi)"
+    return f"SELECT least(floor(sqrt({d2}) * 12 / {lag}), 11)::BIGINT AS bin, count(*) AS pairs, avg(sqrt({d2})) AS lag, sum((a.z - b.z) * (a.z - b.z))::DOUBLE / (2 * count(*)) AS g FROM q a JOIN q b ON {_near(lag)} AND (a.xi < b.xi OR (a.xi = b.xi AND a.yi < b.yi)) GROUP BY 1 HAVING count(*) >= {least}"
+
+
+def fit_sql(lag: int) -> str:
+    """The spherical model of least squared error for those bins."""
+    return f"""(WITH v AS ({pairs_sql(lag)}), t AS (SELECT max(g) AS s, max(lag) AS l FROM v),
+y AS (SELECT s, round(n * s, 6) AS nugget, round((1 - n) * s, 6) AS sill, round(l * i / 24, 6) AS reach FROM t, (SELECT unnest(range(1, 25)) AS i), (VALUES (0.0::DOUBLE), (0.05), (0.2)) x(n)),
+e AS (SELECT nugget, sill, reach, round(sum((g - (nugget + sill * (1.5 * least(lag / reach, 1) - 0.5 * least(lag / reach, 1) * least(lag / reach, 1) * least(lag / reach, 1)))) ** 2) / any_value(s * s), 9) AS sse FROM v, y GROUP BY 1, 2, 3)
+SELECT nugget, sill, reach, sse FROM e ORDER BY sse, reach, nugget LIMIT 1)"""
+
+
+@query(Q + f" SELECT bin, pairs, round(g, 6) AS semivariance FROM ({pairs_sql(50)})")
 def variogram_bins(spark: SparkSession, d: str) -> DataFrame:
-    v = places(cloud(spark, d)).filter("(xi * 31 + yi * 17) % 4 = 0")
-    return J.variogram(v, 50).select("bin", "pairs", F.round("semivariance", 6).alias("semivariance"))
+    return J.variogram(places(cloud(spark, d)), 50).select("bin", "pairs", F.round("semivariance", 6).alias("semivariance"))
 
 
-@query()
+@query(Q + f" SELECT * FROM {fit_sql(50)}")
 def variogram_fit_grid(spark: SparkSession, d: str) -> DataFrame:
     return J.fitted(J.variogram(places(cloud(spark, d)), 50))
 
 
-@query()
+LAGS = (30, 50, 70)
+
+
+@query(Q + ", f AS (" + " UNION ALL ".join(f"SELECT {lag} AS lag, * FROM {fit_sql(lag)}" for lag in LAGS) + ") SELECT *, max(reach) OVER () <= 1.25 * min(reach) OVER () AS stable FROM f")
 def range_stability(spark: SparkSession, d: str) -> DataFrame:
     """The fitted range at three greatest lags, and whether they agree within a quarter."""
     v = places(cloud(spark, d))
-    fits = [J.fitted(J.variogram(v, lag)).select(F.lit(lag).alias("lag"), "nugget", "sill", "reach", "sse") for lag in (30, 50, 70)]
+    fits = [J.fitted(J.variogram(v, lag)).select(F.lit(lag).alias("lag"), "nugget", "sill", "reach", "sse") for lag in LAGS]
     every = fits[0].unionByName(fits[1]).unionByName(fits[2])
     w = Window.partitionBy(F.lit(1))  # three rows
     return every.withColumn("stable", F.max("reach").over(w) <= 1.25 * F.min("reach").over(w))

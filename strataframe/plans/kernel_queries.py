@@ -1,4 +1,5 @@
-"""Queries that need linear solves, flood fills or iterative filters: no SQL, but brute-force and analytic tests."""
+"""Queries that need linear solves, flood fills or iterative filters. Flood fills have recursive SQL; solves and filters are
+tested by brute force and, on clouds whose answer is known, by the queries of ``analytic_queries``."""
 
 from __future__ import annotations
 
@@ -12,8 +13,10 @@ from ..operators import neighbors as J
 from ..operators import rasters as X
 from ..operators import regions as Rg
 from ..operators import surface as S
-from .binding import P, cloud, raster
-from .join_queries import QG, places
+from .binding import P, R, cloud, raster
+from .cell_queries import FLOOR
+from .join_queries import QG, Q, places
+from .raster_queries import GRAD, gaussian_sql
 from .raster_queries import surface as raster_and_size
 from .registry import query
 
@@ -113,7 +116,8 @@ def elm_noise(spark: SparkSession, d: str) -> DataFrame:
     return Gd.low_noise(cloud(spark, d)).agg(one().alias("n"), F.count_if("noise").alias("noise"), F.sum(F.when(F.col("noise"), F.col("zi")).otherwise(0)).alias("z"))
 
 
-@query()
+@query(Q + """, n AS (SELECT a.xi, a.yi, sqrt((b.xi - a.xi) * (b.xi - a.xi) + (b.yi - a.yi) * (b.yi - a.yi) + ((b.z - a.z) / 10) * ((b.z - a.z) / 10)) AS d FROM q a JOIN q b ON b.yi BETWEEN a.yi - 120 AND a.yi + 120 AND b.xi BETWEEN a.xi - 120 AND a.xi + 120 AND (a.xi <> b.xi OR a.yi <> b.yi)),
+k AS (SELECT xi, yi, list_sum(min(d, 8)) / 8 AS distance FROM n GROUP BY 1, 2), s AS (SELECT avg(distance) + 2.5 * stddev_pop(distance) AS b FROM k) SELECT distance > b AS outlier, count(*) AS n, round(avg(distance), 4) AS distance FROM k, s GROUP BY 1""")
 def outlier_points(spark: SparkSession, d: str) -> DataFrame:
     return Gd.outliers(places(cloud(spark, d))).groupBy("outlier").agg(one().alias("n"), F.round(F.avg("distance"), 4).alias("distance"))
 
@@ -127,12 +131,22 @@ def height_above_tin(spark: SparkSession, d: str) -> DataFrame:
     return keep.groupBy("is_ground").agg(one().alias("n"), F.round(F.percentile("hag", 0.5), 3).alias("median"), F.count_if(F.abs("hag") < 20).alias("near"))
 
 
-@query()
+#: Connected components of the cells ``c``, by the least cell that each reaches: Spark names them by the same number.
+LABELS = """lab(row, col, label) USING KEY (row, col) AS (SELECT row, col, row * 2147483648 + col FROM c
+  UNION SELECT x.row, x.col, min(l.label) FROM lab l, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dr, dc), recurring.lab x WHERE x.row = l.row + dr AND x.col = l.col + dc AND l.label < x.label GROUP BY x.row, x.col)"""
+RP = P.replace("WITH", "WITH RECURSIVE", 1)
+RR = R.replace("WITH", "WITH RECURSIVE", 1)
+SMALL = RP + ", r AS (SELECT yi // 5 AS row, xi // 5 AS col, CAST(sum(zi) AS BIGINT) // count(*) AS z FROM p GROUP BY 1, 2)"
+
+
+@query(SMALL + ", c AS (SELECT row, col FROM r), " + LABELS + " SELECT label, count(*) AS cells, min(row) AS row_lo, max(row) AS row_hi, min(col) AS col_lo, max(col) AS col_hi FROM lab GROUP BY label")
 def components(spark: SparkSession, d: str) -> DataFrame:
     return Rg.sizes(raster(cloud(spark, d), 5)).select("label", "cells", "row_lo", "row_hi", "col_lo", "col_hi")
 
 
-@query()
+@query(RR + ", c AS (SELECT row, col, z FROM r WHERE z % 7 < 4), " + LABELS + """, t AS (SELECT count(*) AS t FROM c)
+SELECT label, count(*) AS cells, round(avg(row), 4) AS row, round(avg(col), 4) AS col, min(row) AS row_lo, max(row) AS row_hi, round(avg(z), 4) AS z, round(count(*) / any_value(t), 8) AS share
+FROM lab JOIN c USING (row, col), t GROUP BY label ORDER BY cells DESC, label LIMIT 6""")
 def largest_patches(spark: SparkSession, d: str) -> DataFrame:
     """The six largest connected patches of steep error, with their centres and shares."""
     r = raster(cloud(spark, d))
@@ -143,14 +157,27 @@ def largest_patches(spark: SparkSession, d: str) -> DataFrame:
     return g.join(F.broadcast(total)).withColumn("share", F.round(F.col("cells") / F.col("_t"), 8)).drop("_t").orderBy(F.desc("cells"), "label").limit(6)
 
 
-@query()
+#: The empty cells of the raster, and those of them in holes.
+HOLES = SMALL + """, sz AS (SELECT max(row) AS h, max(col) AS w FROM r),
+c AS (SELECT a.row, b.col FROM sz, LATERAL (SELECT unnest(range(0, h + 1)) AS row) a, LATERAL (SELECT unnest(range(0, w + 1)) AS col) b WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.row = a.row AND r.col = b.col)),
+""" + LABELS + """, inner_ AS (SELECT label, count(*) AS cells FROM lab, sz GROUP BY label HAVING NOT bool_or(row = 0 OR col = 0 OR row = h OR col = w))"""
+
+
+@query(HOLES + " SELECT label, cells FROM inner_")
 def fill_holes(spark: SparkSession, d: str) -> DataFrame:
     r = raster(cloud(spark, d), 5)
     h, w = r.agg(F.max("row"), F.max("col")).first()
     return Rg.holes(r, h + 1, w + 1).groupBy("label").agg(one().alias("cells"))
 
 
-@query()
+KERNEL1 = ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in X.kernel(1.0))
+
+
+@query(HOLES + f""", hole AS (SELECT row, col FROM lab JOIN inner_ USING (label) WHERE cells <= 400),
+nf AS (SELECT a.row, a.col, arg_min(r.z, struct_pack(d := (r.row - a.row) * (r.row - a.row) + (r.col - a.col) * (r.col - a.col), y := r.row, x := r.col)) AS z FROM hole a JOIN r ON r.row BETWEEN a.row - 16 AND a.row + 16 AND r.col BETWEEN a.col - 16 AND a.col + 16 GROUP BY 1, 2),
+whole AS (SELECT row, col, z::DOUBLE AS z FROM r UNION ALL SELECT row, col, z::DOUBLE FROM nf), k(o, w) AS (VALUES {KERNEL1}),
+b1 AS (SELECT row, col + o AS col, sum(z * w) AS s, sum(w) AS n FROM whole, k GROUP BY 1, 2), b2 AS (SELECT row + o AS row, col, sum(s * w) / sum(n * w) AS z FROM b1, k GROUP BY 1, 2)
+SELECT row, col, round(z, 4) AS z FROM whole WHERE (row, col) NOT IN (SELECT (row, col) FROM hole) UNION ALL SELECT b2.row, b2.col, round(b2.z, 4) FROM b2 JOIN hole USING (row, col)""")
 def void_fill(spark: SparkSession, d: str) -> DataFrame:
     r = raster(cloud(spark, d), 5)
     h, w = r.agg(F.max("row"), F.max("col")).first()
@@ -164,7 +191,11 @@ def footprint_outlines(spark: SparkSession, d: str) -> DataFrame:
     return o.select("label", "cells", F.size("ring").alias("corners"), F.round(Rg.shoelace("ring"), 4).alias("area"))
 
 
-@query()
+@query(SMALL + """, sz AS (SELECT max(row) AS h, max(col) AS w, FROM r), o AS (SELECT a, b, a * a + b * b AS d2 FROM (SELECT unnest(range(-8, 9)) AS a), (SELECT unnest(range(-8, 9)) AS b) WHERE a * a + b * b <= 64),
+n AS (SELECT r.row + a AS row, r.col + b AS col, min(d2) AS d2 FROM r, o, sz WHERE r.row + a BETWEEN 0 AND h AND r.col + b BETWEEN 0 AND w GROUP BY 1, 2),
+d AS (SELECT ceil(sqrt(d2))::BIGINT AS radius, count(*) AS n FROM n GROUP BY 1), c AS (SELECT radius, sum(n) OVER (ORDER BY radius)::BIGINT AS covered FROM d),
+e AS (SELECT arg_min(covered, radius) AS c0, arg_max(covered, radius) AS c1, min(radius) AS r0, max(radius) AS r1 FROM c)
+SELECT radius, covered, round(covered - (c0 + (c1 - c0) * (radius - r0)::DOUBLE / greatest(r1 - r0, 1)), 4) AS gain FROM c, e""")
 def knee_radius(spark: SparkSession, d: str) -> DataFrame:
     r = raster(cloud(spark, d), 5)
     h, w = r.agg(F.max("row"), F.max("col")).first()
@@ -173,7 +204,7 @@ def knee_radius(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def buffered_loo(spark: SparkSession, d: str) -> DataFrame:
-    loo = E.left_out(bare(spark, d), VARIOGRAM, one_in=10)
+    loo = E.left_out(bare(spark, d), VARIOGRAM)
     return E.errors(loo.withColumn("all", F.lit("all")), "z", "estimate", "all")
 
 
@@ -186,7 +217,19 @@ def block_holdout(spark: SparkSession, d: str) -> DataFrame:
     return E.held_out_blocks(bare(spark, d))
 
 
-@query()
+def holdout_sql(cell: int, low: bool, reach: int = 40) -> str:
+    """Errors of held-out blocks at the nearest cell with data, over all folds."""
+    r, value = reach // cell, "min(f.z)" if low else "avg(f.z)"
+    return f"""(WITH f AS (SELECT *, ((xi // 50) * 7919 + (yi // 50) * 104729) % 3 AS fold FROM q), k AS (SELECT unnest(range(0, 3)) AS fold),
+b AS (SELECT k.fold, f.yi // {cell} AS row, f.xi // {cell} AS col, {value} AS z FROM f, k WHERE f.fold <> k.fold GROUP BY 1, 2, 3),
+o AS (SELECT a AS dr, b AS dc, a * a + b * b AS d2 FROM (SELECT unnest(range(-{r}, {r + 1})) AS a), (SELECT unnest(range(-{r}, {r + 1})) AS b) WHERE a * a + b * b <= {r * r}),
+s AS (SELECT fold, row + dr AS row, col + dc AS col, arg_min(z, struct_pack(d := d2, y := row, x := col)) AS z FROM b, o GROUP BY 1, 2, 3),
+t AS (SELECT f.fold, f.z - s.z AS off FROM f JOIN s ON s.fold = f.fold AND s.row = f.yi // {cell} AND s.col = f.xi // {cell}),
+e AS (SELECT fold, round(sqrt(avg(off * off)), 4) AS rmse, count(*) AS n FROM t GROUP BY fold)
+SELECT {cell}::BIGINT AS cell, {low} AS low, round(avg(rmse), 4) AS rmse, sum(n)::BIGINT AS n FROM e)"""
+
+
+@query(QG + " " + " UNION ALL ".join(f"SELECT * FROM {holdout_sql(c, w)}" for c in (10, 20, 40) for w in (False, True)))
 def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Cell sizes against thinning: every combination scored on held-out blocks, the best first."""
     q = bare(spark, d).persist()
@@ -195,7 +238,9 @@ def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r["cell"], r["low"], r["rmse"], r["n"]) for r in done], "cell long, low boolean, rmse double, n long")
 
 
-@query()
+@query(QG + """, h AS (SELECT *, ('0x' || substr(md5(xi || ',' || yi), 1, 8))::BIGINT % 10000 / 10000 AS h FROM q), a AS (SELECT yi // 20 AS row, xi // 20 AS col, avg(z) AS za FROM q GROUP BY 1, 2),
+b AS (SELECT s AS share, yi // 20 AS row, xi // 20 AS col, avg(z) AS zb FROM h, (VALUES (0.75::DOUBLE), (0.5), (0.25)) v(s) WHERE h < s GROUP BY 1, 2, 3), e AS (SELECT share, abs(za - zb) AS off FROM a JOIN b USING (row, col))
+SELECT share, count(*) AS n, round(median(off), 4) AS median, round(avg(off), 4) AS mae, round(sqrt(avg(off * off)), 4) AS rmse, round(quantile_cont(off, 0.9), 4) AS p90 FROM e GROUP BY share""")
 def density_dilution(spark: SparkSession, d: str) -> DataFrame:
     """Rasters from shares of the ground against the raster of all of it."""
     q = bare(spark, d)
@@ -205,7 +250,10 @@ def density_dilution(spark: SparkSession, d: str) -> DataFrame:
     return E.errors(part.join(whole, ["row", "col"]), "za", "zb", "share")
 
 
-@query()
+@query(GRAD + f""", l AS (SELECT row, col, tan, CASE WHEN min(col) OVER () = col THEN tan ELSE lag(tan) OVER x END + CASE WHEN max(col) OVER () = col THEN tan ELSE lead(tan) OVER x END + CASE WHEN min(row) OVER () = row THEN tan ELSE lag(tan) OVER y END + CASE WHEN max(row) OVER () = row THEN tan ELSE lead(tan) OVER y END - 4 * tan AS lt,
+  CASE WHEN min(col) OVER () = col THEN z ELSE lag(z) OVER x END + CASE WHEN max(col) OVER () = col THEN z ELSE lead(z) OVER x END + CASE WHEN min(row) OVER () = row THEN z ELSE lag(z) OVER y END + CASE WHEN max(row) OVER () = row THEN z ELSE lead(z) OVER y END - 4 * z AS lap FROM sl WINDOW x AS (PARTITION BY row ORDER BY col), y AS (PARTITION BY col ORDER BY row)),
+{gaussian_sql("f", 1.0)}, {gaussian_sql("c", 5.0)}, s AS (SELECT l.tan, l.lap, f.blur - c.blur AS up FROM l JOIN f USING (row, col) JOIN c USING (row, col) WHERE tan IS NOT NULL AND lap IS NOT NULL), m AS (SELECT quantile_cont(abs(lap), 0.9) AS b FROM s)
+SELECT CASE WHEN abs(lap) > b THEN 'shoulder' WHEN up > 20 AND tan > tan(radians(5)) THEN 'mound' WHEN up < -20 AND tan > tan(radians(5)) THEN 'depression' ELSE 'planar' END AS landform, count(*) AS cells, round(avg(tan), 6) AS slope FROM s, m GROUP BY 1""")
 def landform_classes(spark: SparkSession, d: str) -> DataFrame:
     """Planar, mound, depression and shoulder cells from prominence, slope and curvature."""
     r, h, w = raster_and_size(spark, d)
@@ -226,7 +274,8 @@ def tile_to_raster(spark: SparkSession, d: str) -> DataFrame:
     return process(cloud(spark, d), load("cleanup", engine="minimum curvature", cell_m=2.0)).cells.select("row", "col", F.round("z", 3).alias("z"))
 
 
-@query()
+@query(GRAD + """, b AS (SELECT a.row, a.col, sum(b.z)::DOUBLE / count(b.z) AS m, median(b.z) AS md FROM r a JOIN r b ON b.row BETWEEN a.row - 2 AND a.row + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY 1, 2)
+SELECT count(*) AS cells, round(avg(abs(z - m)), 4) AS roughness, round(avg(CASE WHEN tan > tan(radians(20)) THEN 1 WHEN tan IS NOT NULL THEN 0 END), 8) AS steep, count_if(abs(z - m) > 100)::BIGINT AS specks, round(avg(CASE WHEN abs(z - md) > 30 THEN 1 ELSE 0 END), 8) AS pits FROM sl JOIN b USING (row, col) WHERE z IS NOT NULL""")
 def texture_set(spark: SparkSession, d: str) -> DataFrame:
     """Roughness, pits, terracing and specks of a raster in one row."""
     r, h, w = raster_and_size(spark, d)
@@ -236,7 +285,9 @@ def texture_set(spark: SparkSession, d: str) -> DataFrame:
     return b.agg(one().alias("cells"), F.round(F.avg(off), 4).alias("roughness"), F.round(F.avg((F.col("tan") > F.tan(F.radians(F.lit(20.0)))).cast("int")), 8).alias("steep"), F.count_if(off > 100).alias("specks")).join(F.broadcast(pit))
 
 
-@query()
+@query(P + """, a AS (SELECT DISTINCT xi, yi FROM p WHERE NOT ground), b AS (SELECT DISTINCT xi, yi FROM p WHERE ground),
+n AS (SELECT a.xi, a.yi, min((b.xi - a.xi) * (b.xi - a.xi) + (b.yi - a.yi) * (b.yi - a.yi)) AS d2 FROM a JOIN b ON b.xi BETWEEN a.xi - 60 AND a.xi + 60 AND b.yi BETWEEN a.yi - 60 AND a.yi + 60 GROUP BY 1, 2)
+SELECT (ceil(sqrt(d2) / 2) * 2)::BIGINT AS within, count(*) AS n FROM n GROUP BY 1""")
 def tension_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The nearest ground point of every return, however far, by widening rings."""
     p = cloud(spark, d)
@@ -245,19 +296,27 @@ def tension_nearest(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy((F.ceil(F.sqrt("d2") / 2) * 2).alias("within")).agg(one().alias("n"))
 
 
-@query()
+@query(R + """, t AS (SELECT regr_count(z, col) AS n, covar_pop(col, col) AS cc, covar_pop(row, row) AS rr, covar_pop(col, row) AS cr, covar_pop(col, z) AS cz, covar_pop(row, z) AS rz, avg(z) AS mz, avg(col) AS mc, avg(row) AS mr FROM r),
+e AS (SELECT r.row, r.col, z - mz - (cz * rr - rz * cr) / (cc * rr - cr * cr) * (col - mc) - (rz * cc - cz * cr) / (cc * rr - cr * cr) * (row - mr) AS e FROM r, t),
+o AS (SELECT unnest(range(1, 25)) AS k), s AS (SELECT k, e.e, f.e AS e2 FROM e, o JOIN e f ON f.row = e.row AND f.col = e.col + k UNION ALL SELECT k, e.e, f.e FROM e, o JOIN e f ON f.row = e.row + k AND f.col = e.col),
+g AS (SELECT k AS lag, count(*) AS pairs, sum((e - e2) * (e - e2)) / (2 * count(*)) AS g FROM s GROUP BY 1 HAVING count(*) >= 100), m AS (SELECT arg_min(g, lag) AS nugget, max(g) AS sill FROM g)
+SELECT round(nugget, 2) AS nugget, round(sill, 2) AS sill, round(nugget / sill, 6) AS ratio, (SELECT min(lag) FROM g WHERE g >= 0.95 * sill) AS reach, (SELECT sum(pairs) FROM g)::BIGINT AS pairs,
+  CASE WHEN nugget > 0.75 * sill THEN 'noise' WHEN nugget > 0.25 * sill THEN 'mixed' ELSE 'structure' END AS verdict FROM m""")
 def fft_variogram(spark: SparkSession, d: str) -> DataFrame:
-    """Residuals about each cell's plane, their spread by distance from a trend: nugget, sill and a verdict."""
-    r = raster(cloud(spark, d))
-    offsets = [(0, -k, k) for k in range(1, 13)] + [(-k, 0, k) for k in range(1, 13)]
+    """Residuals about the raster's plane, their semivariance in 24 bins of exact pair counts over the cells that both
+    ends of a pair have: nugget, sill, the lag at which 95 % of it is reached, and a verdict."""
+    e = X.about_plane(raster(cloud(spark, d)))
+    offsets = [(0, -k, k) for k in range(1, 25)] + [(-k, 0, k) for k in range(1, 25)]
     gap = F.col("z") - F.col("z2")
-    bins = X.lag_pairs(r, offsets, "lag").groupBy("lag").agg(one().alias("pairs"), (F.sum(gap * gap) / (2 * one())).alias("g")).filter("pairs >= 100")
-    row = bins.agg(F.min_by("g", "lag").alias("nugget"), F.max("g").alias("sill"))
+    bins = X.lag_pairs(e, offsets, "lag").groupBy("lag").agg(one().alias("pairs"), (F.sum(gap * gap) / (2 * one())).alias("g")).filter("pairs >= 100")
+    top = bins.agg(F.min_by("g", "lag").alias("nugget"), F.max("g").alias("sill"), F.sum("pairs").alias("pairs"))  # a single row
     verdict = F.when(F.col("nugget") > 0.75 * F.col("sill"), "noise").when(F.col("nugget") > 0.25 * F.col("sill"), "mixed").otherwise("structure")
-    return row.select(F.round("nugget", 4).alias("nugget"), F.round("sill", 4).alias("sill"), F.round(F.col("nugget") / F.col("sill"), 6).alias("ratio"), verdict.alias("verdict"))
+    reach = bins.crossJoin(F.broadcast(top.select("sill"))).filter("g >= 0.95 * sill").agg(F.min("lag").cast("bigint").alias("reach"))  # at most 24 rows
+    return top.crossJoin(F.broadcast(reach)).select(F.round("nugget", 2).alias("nugget"), F.round("sill", 2).alias("sill"), F.round(F.col("nugget") / F.col("sill"), 6).alias("ratio"), "reach", "pairs", verdict.alias("verdict"))
 
 
-@query()
+@query(FLOOR.format(s=50) + """, h AS (SELECT p.ground, zi - floor AS h FROM p JOIN fl ON p.xi // 50 = fl.cx AND p.yi // 50 = fl.cy), v(threshold) AS (VALUES (10), (20), (30), (50), (100))
+SELECT threshold, round(count_if(h > threshold AND ground) / count_if(ground), 8) AS ground_lost, round(count_if(h > threshold AND NOT ground) / count_if(NOT ground), 8) AS recall FROM h, v GROUP BY threshold""")
 def cleanup_tradeoff(spark: SparkSession, d: str) -> DataFrame:
     """A rule's recall of canopy and cost in ground, over thresholds."""
     h = C.above_floor(cloud(spark, d), 50)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -307,28 +309,74 @@ def opening_residual(spark: SparkSession, d: str) -> DataFrame:
     return X.opened(X.dense(r, h, w), 2).filter("z > open").select("row", "col", (F.col("z") - F.col("open")).alias("above"))
 
 
-@query()
+def gaussian_sql(name: str, sigma: float) -> str:
+    """``name``: row, col, blur of the cells around data, along rows and then along columns."""
+    k = ", ".join(f"({o}, {w!r}::DOUBLE)" for o, w in X.kernel(sigma))
+    return f"""{name}k(o, w) AS (VALUES {k}), {name}1 AS (SELECT row, col + o AS col, sum(z * w) AS s, sum(w) AS n FROM r, {name}k GROUP BY 1, 2),
+{name} AS (SELECT row + o AS row, col, sum(s * w) / sum(n * w) AS blur FROM {name}1, {name}k GROUP BY 1, 2)"""
+
+
+LIT = " + ".join(f"greatest(0, ({math.sin(math.radians(35.0))!r}::DOUBLE - {math.cos(math.radians(35.0))!r}::DOUBLE * ({math.sin(2 * math.pi * k / 8)!r}::DOUBLE * gx - {math.cos(2 * math.pi * k / 8)!r}::DOUBLE * gy)) / sqrt(1 + gx * gx + gy * gy))" for k in range(8))
+SHADE = GRAD + f", sh AS (SELECT row, col, sqrt(gx * gx + gy * gy) AS tan, ({LIT}) / 8 AS shade FROM gr WHERE gx IS NOT NULL AND gy IS NOT NULL)"
+RAYS = ", ".join(f"({k}, {dr}, {dc}, {dist!r}::DOUBLE)" for k, dr, dc, dist in X.rays(2.0))
+HORIZON = f"""ray(k, dr, dc, dist) AS (VALUES {RAYS}), hk AS (SELECT r.row, r.col, k, max((b.z / 100 - r.z / 100) / dist) AS t FROM r, ray JOIN r b ON b.row = r.row + dr AND b.col = r.col + dc GROUP BY 1, 2, 3),
+ho AS (SELECT r.row, r.col, 1 - coalesce(sum(sin(atan(greatest(t, 0)))), 0) / 16 AS svf, 90 - coalesce(sum(degrees(atan(t))), 0) / 16 AS open FROM r LEFT JOIN hk USING (row, col) GROUP BY 1, 2)"""
+FIXED_BOUNDS = {"shade": (0, 1), "tan": (0, 2), "open": (45, 95), "svf": (0.5, 1)}
+
+
+def composite_sql(bounds: dict | None) -> str:
+    names = ("shade", "tan", "open", "svf")
+    ends = ", ".join(f"{float(bounds[n][0])!r}::DOUBLE AS {n}_lo, {float(bounds[n][1])!r}::DOUBLE AS {n}_hi" if bounds else f"min({n}) AS {n}_lo, max({n}) AS {n}_hi" for n in names)
+    n = ", ".join(f"CASE WHEN {c}_hi > {c}_lo THEN least(1, greatest(0, ({c} - {c}_lo) / ({c}_hi - {c}_lo))) ELSE 0 END AS {c}" for c in names)
+    return SHADE + ", " + HORIZON + f", la AS (SELECT row, col, shade, tan, open, svf FROM sh JOIN ho USING (row, col)), en AS (SELECT {ends} FROM {'(SELECT 1)' if bounds else 'la'}), no AS (SELECT row, col, {n} FROM la, en)" + """,
+x1 AS (SELECT *, shade * (1 - 0.67::DOUBLE) + abs(shade - tan) * 0.67::DOUBLE AS g FROM no), x2 AS (SELECT *, g * (1 - 0.67::DOUBLE) + (CASE WHEN g < 0.5 THEN 2 * g * open ELSE 1 - 2 * (1 - g) * (1 - open) END) * 0.67::DOUBLE AS g2 FROM x1),
+x3 AS (SELECT *, g2 * (1 - 0.67::DOUBLE) + g2 * svf * 0.67::DOUBLE AS g3 FROM x2) SELECT row, col, greatest(1, round(g3 * 255))::INT AS grey FROM x3"""
+
+
+@query(SHADE + " SELECT row, col, round(shade, 6) AS shade FROM sh")
 def hillshade_cells(spark: SparkSession, d: str) -> DataFrame:
     r, h, w = surface(spark, d)
     return X.hillshade(X.dense(r.withColumn("z", F.col("z") / 100), h, w), h, w, 2.0).filter("shade is not null").select("row", "col", F.round("shade", 6).alias("shade"))
 
 
-@query()
+@query(R + ", " + HORIZON + " SELECT row, col, round(svf, 6) AS svf, round(open, 6) AS open FROM ho")
 def openness_svf(spark: SparkSession, d: str) -> DataFrame:
     r = raster(cloud(spark, d)).withColumn("z", F.col("z") / 100)
     return X.horizons(r, 2.0).select("row", "col", F.round("svf", 6).alias("svf"), F.round("open", 6).alias("open"))
 
 
-@query()
+@query(composite_sql(None))
 def g1_composite(spark: SparkSession, d: str) -> DataFrame:
     r, h, w = surface(spark, d)
     return X.composite(r.withColumn("z", F.col("z") / 100), h, w, 2.0)
 
 
-@query()
+@query(composite_sql(FIXED_BOUNDS))
 def g1_fixed_bounds(spark: SparkSession, d: str) -> DataFrame:
     r, h, w = surface(spark, d)
-    return X.composite(r.withColumn("z", F.col("z") / 100), h, w, 2.0, {"shade": (0, 1), "tan": (0, 2), "open": (45, 95), "svf": (0.5, 1)})
+    return X.composite(r.withColumn("z", F.col("z") / 100), h, w, 2.0, FIXED_BOUNDS)
+
+
+@query(R + ", " + HORIZON + ", e AS (SELECT min(open) AS lo, max(open) AS hi FROM ho) SELECT row, col, round(least(1, greatest(0, CASE WHEN hi > lo THEN (open - lo) / (hi - lo) ELSE 0 END)), 6) AS grey FROM ho, e")
+def openness_grey(spark: SparkSession, d: str) -> DataFrame:
+    """Openness alone, stretched between its least and greatest value."""
+    o = X.horizons(raster(cloud(spark, d)).withColumn("z", F.col("z") / 100), 2.0)
+    ends = o.agg(F.min("open").alias("lo"), F.max("open").alias("hi"))  # a single row
+    return o.crossJoin(F.broadcast(ends)).select("row", "col", F.round(X.normalised(F.col("open"), F.col("lo"), F.col("hi")), 6).alias("grey"))
+
+
+GAMMAS = (0.5, 0.8, 1.0, 1.5)
+
+
+@query(GRAD + ", e AS (SELECT min(tan) AS lo, max(tan) AS hi FROM sl), v(gamma) AS (VALUES " + ", ".join(f"({g}::DOUBLE)" for g in GAMMAS) + ") SELECT gamma, count(*) AS cells, round(avg(((tan - lo) / (hi - lo)) ** gamma), 8) AS mean, round(stddev_pop(((tan - lo) / (hi - lo)) ** gamma), 8) AS spread FROM sl, e, v WHERE tan IS NOT NULL GROUP BY gamma")
+def slope_gammas(spark: SparkSession, d: str) -> DataFrame:
+    """The stretched slope under several gammas: how light it is and how much contrast is left."""
+    r, h, w = surface(spark, d)
+    s = X.slope(X.dense(r, h, w), h, w, 200.0).filter("tan is not null").select("tan")
+    ends = s.agg(F.min("tan").alias("lo"), F.max("tan").alias("hi"))  # a single row
+    n = s.crossJoin(F.broadcast(ends)).select(X.normalised(F.col("tan"), F.col("lo"), F.col("hi")).alias("v"))
+    each = n.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gamma"), X.adjusted(F.col("v"), gamma=g).alias("v")) for g in GAMMAS])).alias("x")).select("x.*")
+    return each.groupBy("gamma").agg(one().alias("cells"), F.round(F.avg("v"), 8).alias("mean"), F.round(F.stddev_pop("v"), 8).alias("spread"))
 
 
 @query(G + """, a AS (SELECT row, max(col) - min(col) + 1 AS w FROM r WHERE row % 5 = 0 GROUP BY row), b AS (SELECT row, max(col) - min(col) + 1 AS w FROM g WHERE row % 5 = 0 GROUP BY row)
