@@ -34,6 +34,18 @@ def radius_pairs(a: DataFrame, b: DataFrame, radius: float, x: str = "xi", y: st
     return near.filter(F.col("d2") < radius * radius if strict else F.col("d2") <= radius * radius)
 
 
+def space_pairs(a: DataFrame, b: DataFrame, radius: float, x: str, y: str, height: str) -> DataFrame:
+    """``radius_pairs`` in space, with buckets along the height (tenths of the others' unit) too, and the squared distance
+    ``d``: crowds that stand over one another don't meet."""
+    level = lambda df, by: F.floor(F.col(height) / (10.0 * radius)) + by
+    other = around(b, radius, x, y).withColumn("_o", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_bz", level(b, F.col("_o")))
+    other = other.select("_bx", "_by", "_bz", *[F.col(c).alias(f"{c}2") for c in b.columns])
+    near = bucket(a, radius, x, y).withColumn("_bz", level(a, F.lit(0))).join(other, ["_bx", "_by", "_bz"]).drop("_bx", "_by", "_bz")
+    dx, dy, dz = F.col(f"{x}2") - F.col(x), F.col(f"{y}2") - F.col(y), (F.col(f"{height}2") - F.col(height)) / 10.0
+    near = near.withColumn("d2", dx * dx + dy * dy)
+    return near.withColumn("d", F.col("d2") + dz * dz).filter(F.col("d") <= radius * radius)
+
+
 def knn(a: DataFrame, b: DataFrame, k: int, radius: float, key: list[str], order: list[str], x: str = "xi", y: str = "yi", strict: bool = False, beyond: float = -1) -> DataFrame:
     """The ``k`` nearest rows of ``b`` within the radius for each row of ``a``, with their rank ``k``; ``order``: columns of
     the pair that break ties. ``beyond`` leaves out neighbours within that distance."""
@@ -57,13 +69,12 @@ def nearest_k(a: DataFrame, b: DataFrame, k: int, key: list[str], order: list[st
     Discs twice as wide each round, for the rows that have not found theirs. A row is done when its k-th neighbour is no
     farther than the disc is wide, as all that are nearer lie in the disc, or when the disc covers both tables."""
     left, found, radius = a, None, start
-    ends = [f(c).alias(f"{f.__name__}_{i}") for i, c in enumerate((x, y)) for f in (F.min, F.max)]
-    lo_x, hi_x, lo_y, hi_y = a.select(x, y).unionByName(b.select(x, y)).agg(*ends).first()  # a single row
-    extent = 0 if lo_x is None else float(hi_x - lo_x) + float(hi_y - lo_y)  # no two rows are farther apart
-    rise = (F.col(f"{height}2") - F.col(height)) / 10.0 if height else F.lit(0)
+    axes = {x: 1, y: 1, **({height: 10} if height else {})}
+    spans = [(F.max(c) - F.min(c)) / by for c, by in axes.items()]
+    extent = sum(float(v or 0) for v in a.select(*axes).unionByName(b.select(*axes)).agg(*spans).first())  # no two rows are farther apart
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("d", *order))
     while True:
-        pairs = radius_pairs(left, b, radius, x, y).withColumn("d", F.col("d2") + rise * rise if height else F.col("d2"))
+        pairs = space_pairs(left, b, radius, x, y, height) if height else radius_pairs(left, b, radius, x, y).withColumn("d", F.col("d2"))
         if apart:
             pairs = pairs.filter(" or ".join(f"{c} <> {c}2" for c in key))
         hit = fixed(pairs.withColumn("k", rank).filter(F.col("k") <= k))
