@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ def fixed(df: DataFrame, tag: str = "step", *by: str) -> DataFrame:
     ``by`` names columns to range-partition the files on."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    (df.repartitionByRange(*by) if by else df).write.parquet(path)
+    (df.repartitionByRange(*by) if by else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +44,13 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have the driver's JVM look for what nothing refers to any more: Spark then deletes the shuffle files of steps whose
+    results have been written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _made:
