@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.shared import delete, fixed
+from ..functions.shared import delete, fixed, swept
 
 #: ASCII white space; everything else belongs to a word.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -19,10 +19,12 @@ def settle(df: DataFrame, tag: str, *by: str) -> DataFrame:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete settled tables that no later step reads."""
+    """Delete settled tables that no later step reads, and the shuffle files of the steps that led to them."""
     for df in frames:
         for f in df.inputFiles()[:1]:
             delete(df.sparkSession, f.rsplit("/", 1)[0])
+    if frames:
+        swept(frames[0].sparkSession)
 
 
 def words(text: Column) -> Column:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, one_per_id, successors
+from .common import WHITE, one_per_id, settle, successors
 
 SEEDS = 4  # of the exact part; each gives two lanes of 32 bits
 SHIFTS = 32  # of the sketch; each gives two lanes
@@ -82,7 +82,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     rows = both.select("doc_id", "next", F.length("text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("_edited").alias("t")))).alias("_x"))
     rows = rows.select("doc_id", "next", "n_chars", "edited_sha256", F.col("_x.v").alias("_v"), F.col("_x.t").alias("_t"))
     prints = vectors(rows, ["doc_id", "next", "n_chars", "edited_sha256", "_v"], "_t")
-    wide = prints.groupBy("doc_id", "next", "n_chars", "edited_sha256").agg(*[F.max(F.when(F.col("_v") == v, F.col("lanes"))).alias(c) for v, c in ((0, "own"), (1, "edited"))])
+    # Each fingerprint is computed once: as half as wide numbers they are written to the shared folder.
+    small = lambda v: F.max(F.when(F.col("_v") == v, F.transform("lanes", lambda x: _centred(x).cast("int"))))
+    told = settle(prints.groupBy("doc_id", "next", "n_chars", "edited_sha256").agg(small(0).alias("own"), small(1).alias("edited")), "prints")
+    wide = told.withColumns({c: F.transform(c, lambda x: _and(x.cast("bigint"), HALF)) for c in ("own", "edited")})
     after = wide.select(F.col("doc_id").alias("next"), F.col("own").alias("_after"))
     out = wide.join(after, "next")
     return out.select("doc_id", "n_chars", "edited_sha256", as_hex(F.col("own")).alias("fingerprint"), as_hex(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.col("_after")).alias("near_next"))

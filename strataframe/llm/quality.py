@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from . import ngramlm, wordscan
 from .bloom import semi_join
-from .common import one_per_id, read, settle
+from .common import forget, one_per_id, read, settle
 
 
 HELD_FOLDS = 2  # one in so many trusted documents sets the bounds
 QUANTILE = 1e-4  # the share of a language's trusted documents beyond each bound
 TAIL = 0.05  # the share of them whose excesses the bound is estimated from
+PRIOR_EXCESSES = 5
 PRIOR_WORDS = 50  # words of average loss that each document is given
 LANGUAGE_WORDS, LANGUAGE_DOCS = 2000, 20  # by so much a language's mean and bounds are drawn to those of all
 SHARD_BYTES = 64 << 20  # of trusted text
@@ -301,12 +302,20 @@ def scores(mean) -> list:
 
 def _beyond(sample: DataFrame, *by: str) -> DataFrame:
     """The QUANTILE of ``noise`` and ``echo``: the TAIL quantile and, as excesses over it fall off exponentially, their
-    mean times the log of the ratio of both shares."""
+    mean times the log of the ratio of both shares. PRIOR_EXCESSES of the size that the way from the median to the TAIL
+    quantile suggests steady that mean where there are few."""
     kinds = ("noise", "echo")
-    edge = sample.groupBy(*by).agg(*[F.percentile_approx(c, 1 - TAIL, 10000).alias(f"_{c}") for c in kinds], F.count(F.lit(1)).alias("k"))
+    edge = sample.groupBy(*by).agg(*[F.percentile_approx(c, [0.5, 1 - TAIL], 10000).alias(f"_{c}") for c in kinds], F.count(F.lit(1)).alias("k"))
     both = sample.join(edge, list(by)) if by else sample.crossJoin(F.broadcast(edge))  # a single row
-    excess = lambda c: F.coalesce(F.avg(F.when(F.col(c) > F.col(f"_{c}"), F.col(c) - F.col(f"_{c}"))), F.lit(0.0))
-    return both.groupBy(*by).agg(F.first("k").alias("k"), *[(F.first(f"_{c}") + excess(c) * float(np.log(TAIL / QUANTILE))).alias(f"most_{c}") for c in kinds])
+    over = lambda c: F.greatest(F.col(c) - F.col(f"_{c}")[1], F.lit(0.0))
+    sums = both.groupBy(*by).agg(F.first("k").alias("k"), *[F.first(f"_{c}").alias(f"_{c}") for c in kinds], *[F.sum(over(c)).alias(f"_s{c}") for c in kinds], *[F.count_if(over(c) > 0).alias(f"_n{c}") for c in kinds])
+
+    def most(c: str):
+        typical = (F.col(f"_{c}")[1] - F.col(f"_{c}")[0]) / float(np.log(0.5 / TAIL))
+        mean = (F.col(f"_s{c}") + PRIOR_EXCESSES * typical) / (F.col(f"_n{c}") + PRIOR_EXCESSES)
+        return (F.col(f"_{c}")[1] + mean * float(np.log(TAIL / QUANTILE))).alias(f"most_{c}")
+
+    return sums.select(*by, "k", *map(most, kinds))
 
 
 def bounds(sure: DataFrame) -> tuple[DataFrame, float, float, float] | None:
@@ -337,7 +346,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_FOLDS)) == 0
     trusted = settle(semi_join(own.select("doc_id", "text"), good.filter(~held), "doc_id"), "trusted")
-    scored = settle(perplexities(own, trusted).join(own.select("doc_id", "lang"), "doc_id"), "scored")
+    losses = perplexities(own, trusted)
+    forget(trusted)  # the counts are settled
+    scored = settle(losses.join(own.select("doc_id", "lang"), "doc_id"), "scored")
     found = bounds(scored.join(good.filter(held), "doc_id", "left_semi").filter("n_words > 0").select("lang", "n_words", "n_fresh", "loss"))
     some = F.col("n_words") > 0
     cols = ["doc_id", "lang", "n_words", F.when(some, F.exp(F.col("loss") / F.col("n_words"))).alias("perplexity")]

@@ -2,7 +2,7 @@
 
 import pytest
 
-from strataframe.llm import decontaminate, fingerprints, jaccard, mixing, pii, quality, substrings, tokencounts, toxicity
+from strataframe.llm import bloom, decontaminate, fingerprints, jaccard, mixing, pii, quality, substrings, tokencounts, toxicity, urlfilter
 
 
 def run(spark, name, docs):
@@ -49,3 +49,40 @@ def test_odd_rows(spark, table, prose, name):
         assert g.loc[5, "fingerprint"] == g.loc[6, "fingerprint"] and g.loc[1, "fingerprint"] == g.loc[3, "fingerprint"] and g.loc[5, "near_next"] == 1.0
     if name == "mixing":
         assert (got["taken"] <= 3 * got["size"]).all()
+
+
+def test_odd_urls(spark):
+    """Null, repeated and very long urls, null page_ids and clashing columns: every row stays and has a verdict."""
+    long = "http://listed.io/" + "p/" * 200_000
+    rows = [(1, None), (None, "http://listed.io/p"), (2, "http://listed.io/p"), (2, "http://listed.io/p"), (3, long), (4, ""), (5, "://"), (6, "http://LISTED.io/p/#x")]
+    pages = spark.createDataFrame([(i, u, "a", "b", "c", True) for i, u in rows], "page_id long, url string, host string, rule string, verdict string, _maybe boolean")
+    listed = spark.createDataFrame([("listed.io", "/p"), (None, "/x"), ("listed.io", None)], "host string, path string")
+    got = sorted((r["page_id"] or 0, r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in urlfilter.filter_urls(pages, listed).collect())
+    assert got == [(0, "listed.io", 2, None, "block"), (1, "", 0, None, "allow"), (2, "listed.io", 2, None, "block"), (2, "listed.io", 2, None, "block"), (3, "listed.io", len(long) - 16, None, "allow"), (4, "", 0, None, "allow"), (5, "", 0, None, "allow"), (6, "listed.io", 3, None, "block")]
+    many = spark.range(3000).selectExpr("concat('h', id % 1000, '.com') host", "concat('/', id) path")
+    hit = spark.range(6000).selectExpr("id page_id", "concat('http://h', id % 1000, '.com/', id) url")
+    for blocks in (1, None):  # a filter that is full, and one sized to the list
+        assert urlfilter.filter_urls(hit, many, blocks=blocks).filter("verdict = 'block'").count() == 3000
+    assert bloom.blocks_for(1000) * 256 >= 12_000 and bloom.blocks_for(0) == 1
+
+
+def test_lists_beyond_the_largest_filter(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "MOST_BLOCKS", 2)
+    keys, rows = spark.range(500).selectExpr("id k"), spark.range(1000).selectExpr("id k", "id v")
+    assert bloom.semi_join(rows, keys, "k").count() == 500
+
+
+def test_half_windows_in_several_filters(spark, table, prose, monkeypatch):
+    """More repeated half-windows than one filter holds: the same words go."""
+    a = prose(200, 1)
+    docs = table([(1, a), (2, prose(20, 2) + " " + a), (3, prose(60, 3)), (4, a + " " + prose(30, 4))])
+    want = sorted(map(tuple, substrings.drop_repeats(docs).collect()))
+    monkeypatch.setattr(substrings, "MOST_BITS", 10)
+    assert sorted(map(tuple, substrings.drop_repeats(docs).collect())) == want
+
+
+def test_large_and_negative_ids(spark, table, prose):
+    """Places of documents whose ids span all of a long."""
+    a = prose(40, 1)
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.drop_repeats(table([(-(1 << 62), a), (1 << 62, a), (0, a)])).collect()}
+    assert got == {-(1 << 62): 0, 0: 40, 1 << 62: 40}

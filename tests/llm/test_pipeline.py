@@ -39,3 +39,26 @@ def test_sql(spark, name):
     want = con.sql(queries.ORACLE_SQL[name])
     at = [want.columns.index(c) for c in cols]
     assert sorted(str([r[c] for c in cols]) for r in got.collect()) == sorted(str([r[i] for i in at]) for r in want.fetchall())
+
+
+def test_two_texts_under_one_doc_id(spark, table, prose, tmp_path):
+    """Only the text that was judged may go on: the other one, and rows without doc_id, go; nulls and extra columns do no harm."""
+    import corpus_pipeline as cp
+
+    noise = " ".join("#$%&" for _ in range(60))
+    rows = [(i, prose(80, i), "en", "a") for i in range(60)] + [(7, "zz " + noise, "en", "a"), (200, None, None, None), (201, "", "en", "b"), (None, prose(80, 99), "en", "a"), (3, prose(80, 3), "en", "a")]
+    docs = table(rows)
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "a passage that nobody has written yet")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: t for i, t, *_ in rows[:60]} | {200: None, 201: ""}
+    for name, stage in cp.STAGES[:-1]:
+        docs = cp.settle(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == cp.COLUMNS, name
+        got = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        assert dict(got) == want and len(got) == len(want), name
+    last = cp.run(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in last) == sorted(want)
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
