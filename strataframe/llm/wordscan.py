@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,8 +61,20 @@ class Scan:
         return np.searchsorted(self.row, np.arange(self.rows + 1))
 
 
-def pieces(column: pa.Array, size: int = 4 << 20):
+@functools.cache
+def frugal() -> None:
+    """Have the C library give freed arrays back to the system at once instead of keeping them for the worker's next
+    task. Fixed values: glibc's numbers of the thresholds for mapped chunks and for trimming."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 1 << 20)
+        mallopt(-1, 1 << 20)
+
+
+def pieces(column: pa.Array, size: int = 1 << 20):
     """Runs of rows of about ``size`` bytes: (first row, slice)."""
+    frugal()
+    pa.default_memory_pool().release_unused()
     n = len(column)
     if not n:
         return
