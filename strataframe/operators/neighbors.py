@@ -1,7 +1,8 @@
-"""Neighbourhood joins: a distance predicate becomes an equi-join on buckets as wide as the radius.
+"""Neighbourhood joins: a distance predicate becomes an equi-join on buckets some radii wide.
 
-One side is unfolded to the nine buckets around its own, the other stays in one; Catalyst then plans an ordinary hash or
-merge join, which AQE splits where a bucket is crowded. Distances are compared as squares, so whole coordinates stay exact.
+One side stays in its own bucket; a row of the other is unfolded to each bucket that its disc reaches, which is one for most
+rows and four at a corner. Catalyst then plans an ordinary hash or merge join, which AQE splits where a bucket is crowded.
+Distances are compared as squares, so whole coordinates stay exact.
 """
 
 from __future__ import annotations
@@ -11,24 +12,26 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import fixed
 
-NINE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+#: Radii to a bucket: wider ones unfold fewer rows and try more pairs.
+WIDE = 3
 
 
 def bucket(df: DataFrame, size: float, x: str, y: str) -> DataFrame:
     return df.withColumns({"_bx": F.floor(F.col(x) / size), "_by": F.floor(F.col(y) / size)})
 
 
-def around(df: DataFrame, size: float, x: str, y: str) -> DataFrame:
-    """Each row in its own bucket and the eight next to it."""
-    df = bucket(df, size, x, y).withColumn("_o", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in NINE])))
-    return df.withColumns({"_bx": F.col("_bx") + F.col("_o.i"), "_by": F.col("_by") + F.col("_o.j")}).drop("_o")
+def around(df: DataFrame, size: float, reach: float, x: str, y: str) -> DataFrame:
+    """Each row in every bucket that lies within ``reach`` of it along both axes."""
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)))
+    return df.withColumn("_bx", span(x)).withColumn("_by", span(y))
 
 
 def radius_pairs(a: DataFrame, b: DataFrame, radius: float, x: str = "xi", y: str = "yi", strict: bool = False) -> DataFrame:
     """Every row of ``a`` with every row of ``b`` within ``radius``: the columns of ``a``, those of ``b`` with 2 at the end,
     and ``d2``. The side ``b`` is unfolded, so the smaller one belongs there."""
-    other = around(b, radius, x, y).select("_bx", "_by", *[F.col(c).alias(f"{c}2") for c in b.columns])
-    near = bucket(a, radius, x, y).join(other, ["_bx", "_by"]).drop("_bx", "_by")
+    size = WIDE * radius
+    other = around(b, size, radius, x, y).select("_bx", "_by", *[F.col(c).alias(f"{c}2") for c in b.columns])
+    near = bucket(a, size, x, y).join(other, ["_bx", "_by"]).drop("_bx", "_by")
     dx, dy = F.col(f"{x}2") - F.col(x), F.col(f"{y}2") - F.col(y)
     near = near.withColumn("d2", dx * dx + dy * dy)
     return near.filter(F.col("d2") < radius * radius if strict else F.col("d2") <= radius * radius)
@@ -37,10 +40,11 @@ def radius_pairs(a: DataFrame, b: DataFrame, radius: float, x: str = "xi", y: st
 def space_pairs(a: DataFrame, b: DataFrame, radius: float, x: str, y: str, height: str) -> DataFrame:
     """``radius_pairs`` in space, with buckets along the height (tenths of the others' unit) too, and the squared distance
     ``d``: crowds that stand over one another don't meet."""
+    size = 2 * radius
     level = lambda df, by: F.floor(F.col(height) / (10.0 * radius)) + by
-    other = around(b, radius, x, y).withColumn("_o", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_bz", level(b, F.col("_o")))
+    other = around(b, size, radius, x, y).withColumn("_o", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_bz", level(b, F.col("_o")))
     other = other.select("_bx", "_by", "_bz", *[F.col(c).alias(f"{c}2") for c in b.columns])
-    near = bucket(a, radius, x, y).withColumn("_bz", level(a, F.lit(0))).join(other, ["_bx", "_by", "_bz"]).drop("_bx", "_by", "_bz")
+    near = bucket(a, size, x, y).withColumn("_bz", level(a, F.lit(0))).join(other, ["_bx", "_by", "_bz"]).drop("_bx", "_by", "_bz")
     dx, dy, dz = F.col(f"{x}2") - F.col(x), F.col(f"{y}2") - F.col(y), (F.col(f"{height}2") - F.col(height)) / 10.0
     near = near.withColumn("d2", dx * dx + dy * dy)
     return near.withColumn("d", F.col("d2") + dz * dz).filter(F.col("d") <= radius * radius)

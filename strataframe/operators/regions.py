@@ -18,12 +18,18 @@ def numbered_runs(cells: DataFrame) -> DataFrame:
     return runs(cells).withColumn("id", F.shiftleft("row", 31) + F.col("lo"))
 
 
+STRIDE = 10  # a bucket is 2 ** STRIDE columns wide
+
+
 def touching(r: DataFrame, diagonal: bool) -> DataFrame:
-    """``a, b`` of the runs that touch in neighbouring rows. Within a row runs are few and in order, so the join's key is the
-    row and its condition the overlap."""
+    """``a, b`` of the runs that touch in neighbouring rows: an equi-join on row and bucket of columns, each run in every
+    bucket that it reaches, so a row of any length is dealt out. A pair counts in the bucket where its overlap begins."""
     d = 1 if diagonal else 0
-    up = r.select((F.col("row") - 1).alias("row"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("id").alias("b"))
-    return r.join(up, "row").filter((F.col("lo") <= F.col("hi2") + d) & (F.col("lo2") <= F.col("hi") + d)).select(F.col("id").alias("a"), "b")
+    reach = lambda lo, hi: F.explode(F.sequence(F.shiftright(lo, STRIDE), F.shiftright(hi, STRIDE)))
+    own = r.withColumn("_b", reach(F.col("lo") - d, F.col("hi") + d))
+    up = r.select((F.col("row") - 1).alias("row"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("id").alias("b"), reach(F.col("lo"), F.col("hi")).alias("_b"))
+    meet = own.join(up, ["row", "_b"]).filter((F.col("lo") <= F.col("hi2") + d) & (F.col("lo2") <= F.col("hi") + d))
+    return meet.filter(F.col("_b") == F.shiftright(F.greatest(F.col("lo") - d, F.col("lo2")), STRIDE)).select(F.col("id").alias("a"), "b")
 
 
 def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ neighbours it needs, and solved in grouped NumPy kernels as stacks; a block is b
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -209,9 +211,10 @@ def _bend(u: np.ndarray) -> np.ndarray:
     return out
 
 
-def minimum_curvature(data: np.ndarray, weight: np.ndarray, tolerance: float = 1e-8, most: int = 4000) -> np.ndarray:
+def minimum_curvature(data: np.ndarray, weight: np.ndarray, tolerance: float = 1e-8, most: int = 4000, guess: np.ndarray | None = None) -> np.ndarray:
     """The surface of least bending energy plus weighted squared misfit, by conjugate gradients. ``data``: NaN where there
-    is none; ``weight``: for each cell with data, infinite where the surface must pass exactly."""
+    is none; ``weight``: for each cell with data, infinite where the surface must pass exactly. ``guess``: a surface near the
+    one sought. Where ``most`` rounds don't suffice, a warning gives the residual that is left."""
     has = np.isfinite(data)
     if not has.any():
         return np.full(data.shape, np.nan)
@@ -220,7 +223,7 @@ def minimum_curvature(data: np.ndarray, weight: np.ndarray, tolerance: float = 1
     mean = data[has].mean()
     target = np.where(has, data - mean, 0.0)
     free = ~pinned
-    x = _start(target, has)
+    x = _start(target, has) if guess is None else guess - mean
     x[pinned] = target[pinned]
 
     def apply(v: np.ndarray) -> np.ndarray:
@@ -242,6 +245,8 @@ def minimum_curvature(data: np.ndarray, weight: np.ndarray, tolerance: float = 1
         new = (r * q).sum()
         p = q + new / rq * p
         rq = new
+    if rq > goal:
+        warnings.warn(f"minimum curvature stopped after {most} rounds with {np.sqrt(rq / goal):.3g} times the residual asked for", stacklevel=2)
     return x + mean
 
 
@@ -271,7 +276,7 @@ def slope_adaptive(data: np.ndarray, cell: float, knee: float = 20.0, beta: floa
     soft = has & (slack > 0)
     if not soft.any():
         return first, 0
-    return minimum_curvature(data, np.where(soft, tightness * cell / np.where(soft, slack, 1.0), exact)), int(soft.sum())
+    return minimum_curvature(data, np.where(soft, tightness * cell / np.where(soft, slack, 1.0), exact), guess=first), int(soft.sum())
 
 
 #: The slope (degrees) and steepness of the slope's logistic; the window (metres), the relief across it that
@@ -304,7 +309,7 @@ def gated(data: np.ndarray, cell: float, gate: dict = GATE) -> tuple[np.ndarray,
         return first, 0
     firm = held(first, cell, gate)
     weight = gate["low"] * (gate["high"] / gate["low"]) ** firm
-    return minimum_curvature(data, np.where(has, weight, 0.0)), int((has & (firm <= 0.5)).sum())
+    return minimum_curvature(data, np.where(has, weight, 0.0), guess=first), int((has & (firm <= 0.5)).sum())
 
 
 def pooled(total: np.ndarray, count: np.ndarray, sigma: float) -> np.ndarray:

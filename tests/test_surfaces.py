@@ -177,3 +177,93 @@ def test_sweep_ranks_and_keeps_failures(spark):
 
     done, failed = E.sweep({"a": [3, 1], "b": [1, 2]}, run, "score")
     assert [d["a"] for d in done] == [1, 3] and len(failed) == 2 and "no" in failed[0]["error"]
+
+
+@pytest.mark.parametrize("guard", ["range", "widened", "none"])
+def test_each_guard_against_its_rule(guard):
+    """Estimates of an extrapolated slope leave the neighbours' range by a known share of it: each guard lets through up to
+    its own margin and replaces the rest by inverse distance."""
+    for share in (-0.9, -0.3, 0.9):
+        dx = np.array([[-1.0, -2.0, -1.0, -2.0, -1.5, -1.2]]) - share
+        dy = np.array([[1.0, -1.0, -1.0, 1.0, 0.0, 0.4]])
+        z = dx * 1.0
+        est, _, bad = S.krige_stack(dx, dy, z, V, order=1, ridge=0.0, guard=guard)
+        beyond = (0.0 - z.max()) / (z.max() - z.min())
+        want = beyond > S.GUARDS[guard] + 1e-9
+        assert bad[0] == want, (guard, share, beyond)
+        if want:
+            w = 1 / (dx**2 + dy**2)
+            assert est[0] == pytest.approx((w * z).sum() / w.sum())
+        else:
+            assert est[0] == pytest.approx(0.0, abs=1e-6)
+    assert S.GUARDS["widened"] == 1.0
+
+
+def test_ridges_are_held_and_smooth_faces_let_go():
+    """Protection is high where it is flat, or bent, however steep; a broad smooth face is relaxed."""
+    r, c = np.mgrid[:80, :80]
+    cell = 0.5
+    face = 0.6 * c * cell
+    assert S.held(np.zeros((80, 80)), cell).min() > 0.95 and S.held(face, cell)[20:60, 20:60].max() < 0.05
+    ridge = face + np.where(np.abs(r - 40) <= 1, 1.0, 0.0)
+    firm = S.held(ridge, cell)
+    assert firm[39:42, 20:60].min() > 0.9 and firm[10:25, 20:60].max() < 0.1
+    rng = np.random.default_rng(0)
+    data = np.where(rng.random(ridge.shape) < 0.6, ridge, np.nan)
+    got, relaxed = S.gated(data, cell)
+    on = np.isfinite(data) & (np.abs(r - 40) == 0) & (np.abs(c - 40) < 20)
+    assert np.abs(got - ridge)[on].max() < 0.05 and relaxed > 0
+
+
+def test_nearest_k_against_brute_force(spark):
+    """However far, in the plane and in space, in a crowd and alone."""
+    rng = np.random.default_rng(7)
+    xyz = np.unique(np.r_[rng.integers(0, 60, (150, 3)), rng.integers(0, 4000, (30, 3))], axis=0)
+    p = spark.createDataFrame([tuple(map(int, v)) for v in xyz], "xi long, yi long, z long")
+    near = J.nearest_k(p, p, 5, ["xi", "yi", "z"], ["xi2", "yi2", "z2"], 4, height="z", apart=True).groupBy("xi", "yi", "z").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    d = ((xyz[:, None, :2] - xyz[None, :, :2]) ** 2).sum(-1) + ((xyz[:, None, 2] - xyz[None, :, 2]) / 10) ** 2
+    want = {tuple(v): np.sort(np.delete(row, i))[:5].sum() for i, (v, row) in enumerate(zip(xyz.tolist(), d, strict=True))}
+    assert len(near) == len(want) and all(r["n"] == 5 and r["s"] == pytest.approx(want[r["xi"], r["yi"], r["z"]]) for r in near)
+    few = J.nearest_k(p.limit(1), p.limit(3), 9, ["xi", "yi", "z"], ["xi2", "yi2", "z2"], 4, height="z")
+    assert few.count() == 3
+
+
+def test_remedy_only_where_it_is_needed(spark):
+    made = []
+
+    def estimate(df):
+        made.append(df.count())
+        return df.withColumn("fallback", F.col("xi") >= 95)
+
+    points = spark.range(100).select(F.col("id").alias("xi"))
+    _, share, used = E.remedied(points, estimate, lambda p: p.filter("xi < 50"), most=0.05)
+    assert (share, used, made) == (0.05, False, [100])
+    _, share, used = E.remedied(points, estimate, lambda p: p.filter("xi < 50"), most=0.04)
+    assert (share, used, made) == (0.0, True, [100, 100, 50])
+
+
+def test_too_few_returns_are_an_error(spark):
+    p = spark.createDataFrame([(i, i, i) for i in range(20)], "xi long, yi long, zi long")
+    with pytest.raises(G.TooFew, match="20 returns"):
+        G.adjudicate(p)
+
+
+def test_long_rows_touch_once(spark):
+    from strataframe.operators import regions as Rg
+
+    cells = spark.createDataFrame([(0, c) for c in range(1000, 2100)] + [(1, c) for c in (1023, 1024, 2047, 2049)] + [(2, 1025)], "row long, col long")
+    r = Rg.numbered_runs(cells)
+    straight, diagonal = (sorted(map(tuple, Rg.touching(r, d).collect())) for d in (False, True))
+    assert len(straight) == len(set(straight)) == 3 and len(diagonal) == len(set(diagonal)) == 4
+    assert Rg.sizes(cells).count() == 2 and Rg.sizes(cells, True).count() == 1
+
+
+def test_utm_of_known_places(spark):
+    from strataframe.functions.projection import utm
+
+    got = spark.createDataFrame([(-87.0, 0.0), (-90.0, 20.0), (-84.5, 45.0), (None, 1.0)], "lon double, lat double")
+    rows = got.select(*[c.alias(n) for c, n in zip(utm(F.col("lon"), F.col("lat"), 16), "en", strict=True)]).collect()
+    assert (rows[0]["e"], rows[0]["n"]) == (pytest.approx(500000.0), pytest.approx(0.0, abs=1e-6)) and rows[3]["e"] is None
+    # A quarter of a meridian is 10,001,965.729 m long on this ellipsoid; the arc to 45 degrees is 4,984,944.378 m.
+    mid = spark.createDataFrame([(-87.0, 45.0), (-87.0, 89.999999)], "lon double, lat double").select(utm(F.col("lon"), F.col("lat"), 16)[1].alias("n")).collect()
+    assert mid[0]["n"] == pytest.approx(0.9996 * 4984944.378, abs=0.01) and mid[1]["n"] == pytest.approx(0.9996 * 10001965.729, abs=0.2)
