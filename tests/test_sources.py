@@ -166,3 +166,36 @@ def test_frames_protect_their_sides(spark):
     with pytest.raises(ValueError):
         finalise(cells, g, strip=1, erode=1)
     assert strip_axis("A_GLAS_b", 9, 1) == "x" and strip_axis("A_NFI_b", 1, 9) == "y" and strip_axis("x", 5, 3) == "y"
+
+
+def test_arrays_and_layers(spark, tmp_path):
+    """NumPy files element by element; point layers read back byte by byte."""
+    import sqlite3
+    import struct
+
+    import numpy as np
+
+    from strataframe.sources.arrays import read_arrays
+    from strataframe.sources.layers import to_geopackage, to_shapefile
+
+    (tmp_path / "in").mkdir()
+    a, b = np.arange(12.0).reshape(3, 4), np.array([7, -1], np.int16)
+    np.save(tmp_path / "in" / "a.npy", a)
+    np.savez(tmp_path / "in" / "z.npz", b=b, a=a)
+    rows = read_arrays(spark, f"{tmp_path}/in", batch=5).collect()
+    assert len(rows) == 12 + 14 and all(r["value"] == (b if r["name"] == "b" else a)[tuple(r["at"])] for r in rows)
+
+    points = spark.createDataFrame([(1.5, -2.0, 7, "é x", None), (3.0, 4.0, -1, None, 0.25)], "x double, y double, n long, name string, value double")
+    assert to_geopackage(points, str(tmp_path / "p.gpkg"), epsg=32616) == 2
+    con = sqlite3.connect(tmp_path / "p.gpkg")
+    got = sorted((struct.unpack("<dd", g[13:]), n, t, v) for g, n, t, v in con.execute("SELECT geom, n, name, value FROM points"))
+    assert got == [((1.5, -2.0), 7, "é x", None), ((3.0, 4.0), -1, None, 0.25)]
+    assert con.execute("SELECT min_x, min_y, max_x, max_y, srs_id FROM gpkg_contents").fetchone() == (1.5, -2.0, 3.0, 4.0, 32616)
+    con.close()
+
+    assert to_shapefile(points, str(tmp_path / "p")) == 2
+    shp, dbf = (tmp_path / "p.shp").read_bytes(), (tmp_path / "p.dbf").read_bytes()
+    assert len(shp) == 100 + 2 * 28 == 2 * struct.unpack(">i", shp[24:28])[0] and {struct.unpack("<dd", shp[k + 12 : k + 28]) for k in (100, 128)} == {(1.5, -2.0), (3.0, 4.0)}
+    n, head, size = struct.unpack("<IHH", dbf[4:12])
+    assert (n, head) == (2, 33 + 32 * 3) and len(dbf) == head + 2 * size + 1
+    assert {dbf[head + k * size + 1 : head + k * size + 21].strip() for k in (0, 1)} == {b"7", b"-1"}
