@@ -220,10 +220,11 @@ def minimum_curvature(data: np.ndarray, weight: np.ndarray, tolerance: float = 1
         return np.full(data.shape, np.nan)
     pinned = has & ~np.isfinite(weight)
     soft = np.where(has & ~pinned, weight, 0.0)
-    mean = data[has].mean()
-    target = np.where(has, data - mean, 0.0)
+    # Planes have no bending energy: the surface about the data's own plane is the same, and nearer to nothing.
+    trend = _plane(data, has)
+    target = np.where(has, data - trend, 0.0)
     free = ~pinned
-    x = _start(target, has) if guess is None else guess - mean
+    x = _start(target, has) if guess is None else guess - trend
     x[pinned] = target[pinned]
 
     def apply(v: np.ndarray) -> np.ndarray:
@@ -233,7 +234,9 @@ def minimum_curvature(data: np.ndarray, weight: np.ndarray, tolerance: float = 1
     r = np.where(free, soft * target - _bend(x) - soft * x, 0.0)
     q = r / scale
     p, rq = q.copy(), (r * q).sum()
-    goal = tolerance**2 * max((np.where(free, soft * target, 0) ** 2 / scale).sum(), rq, 1e-30)
+    # As measured from the data alone, whatever the guess; and no finer than rounding allows.
+    plain = np.where(free, soft * target - _bend(np.where(pinned, target, 0.0)), 0.0)
+    goal = max(tolerance**2 * (plain * plain / scale).sum(), (1e-13 * np.abs(data[has]).max()) ** 2 * data.size, 1e-300)
     for _ in range(most):
         if rq <= goal:
             break
@@ -247,19 +250,39 @@ def minimum_curvature(data: np.ndarray, weight: np.ndarray, tolerance: float = 1
         rq = new
     if rq > goal:
         warnings.warn(f"minimum curvature stopped after {most} rounds with {np.sqrt(rq / goal):.3g} times the residual asked for", stacklevel=2)
-    return x + mean
+    return x + trend
 
 
-def _start(z: np.ndarray, has: np.ndarray) -> np.ndarray:
-    """A first guess: means on ever coarser grids fill the cells that finer ones leave empty."""
-    if has.all() or min(z.shape) < 2:
+def _plane(data: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """The least-squares plane through the data, over the whole grid; level where they don't span one."""
+    r, c = np.nonzero(has)
+    a = np.stack([np.ones(len(r)), r - r.mean(), c - c.mean()], 1)
+    p, _, rank, _ = np.linalg.lstsq(a, data[has], rcond=1e-9)
+    if rank < 3:
+        return np.full(data.shape, data[has].mean())
+    rr, cc = np.mgrid[: data.shape[0], : data.shape[1]]
+    return p[0] + p[1] * (rr - r.mean()) + p[2] * (cc - c.mean())
+
+
+def _start(z: np.ndarray, has: np.ndarray, smallest: int = 12) -> np.ndarray:
+    """A first guess: the surface on a grid twice as coarse, found the same way, between whose cells lines are drawn. What
+    it gets wrong is rough, and that goes in a few rounds."""
+    if has.all() or min(z.shape) < smallest:
         return np.where(has, z, z[has].mean() if has.any() else 0.0)
     h, w = (z.shape[0] + 1) // 2, (z.shape[1] + 1) // 2
     pad = lambda a: np.pad(a, ((0, 2 * h - a.shape[0]), (0, 2 * w - a.shape[1])))
     total = pad(np.where(has, z, 0.0)).reshape(h, 2, w, 2).sum((1, 3))
     count = pad(has.astype(float)).reshape(h, 2, w, 2).sum((1, 3))
-    coarse = _start(total / np.maximum(count, 1), count > 0)
-    return np.where(has, z, np.repeat(np.repeat(coarse, 2, 0), 2, 1)[: z.shape[0], : z.shape[1]])
+    data = np.where(count > 0, total / np.maximum(count, 1), np.nan)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # a guess need not be solved to the end
+        coarse = minimum_curvature(data, np.where(count > 0, np.inf, 0.0), 1e-3, 300)
+    for axis, n in enumerate(z.shape):
+        at = np.clip((np.arange(n) - 0.5) / 2, 0, coarse.shape[axis] - 1)
+        lo = np.minimum(at.astype(int), max(coarse.shape[axis] - 2, 0))
+        f = (at - lo).reshape([-1 if k == axis else 1 for k in (0, 1)])
+        coarse = np.take(coarse, lo, axis) * (1 - f) + np.take(coarse, np.minimum(lo + 1, coarse.shape[axis] - 1), axis) * f
+    return np.where(has, z, coarse)
 
 
 def slope_adaptive(data: np.ndarray, cell: float, knee: float = 20.0, beta: float = 0.2, gamma: float = 1.0, tightness: float | None = 50.0) -> tuple[np.ndarray, int]:
