@@ -137,3 +137,11 @@ def test_conform_refuses_much(spark):
     assert X.conformed(c, 4, 4, 3, 5).count() == 12
     with pytest.raises(ValueError):
         X.conformed(c, 4, 4, 9, 4)
+
+
+def test_shade_is_null_beside_a_gap(spark):
+    a = np.zeros((5, 5))
+    a[2, 2] = np.nan
+    got = array(X.hillshade(X.dense(cells(spark, a), 5, 5), 5, 5, 1.0), a.shape, "shade")
+    gy, gx = np.gradient(a)
+    assert np.array_equal(np.isnan(got), np.isnan(gx + gy))
