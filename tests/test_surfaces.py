@@ -278,3 +278,27 @@ def test_lonely_cells_are_kriged_from_afar(spark):
     off = F.abs(F.col("z") - (100 + 0.5 * F.col("xi") - 0.25 * F.col("yi")))
     assert got.count() == g.count() and got.agg(F.max(off)).first()[0] < 0.5
     assert S.spline(p, g, k=12, radius=60.0, far=True).count() == g.count()
+
+
+def test_guards_solved_together_are_those_solved_apart(spark):
+    rng = np.random.default_rng(11)
+    xy = np.unique(rng.integers(0, 200, (250, 2)), axis=0)
+    p = spark.createDataFrame(pd.DataFrame({"xi": xy[:, 0], "yi": xy[:, 1], "z": 0.1 * xy[:, 0] ** 2}))
+    g, v = grid(spark, -30, 240, 15), ("spherical", 0.0, 20.0, 300.0)
+    got = sorted(map(tuple, S.krige_guards(p, g, v, list(S.GUARDS)).select("guard", "row", "col", "z", "fallback").collect()))
+    apart = sorted((name, *r) for name in S.GUARDS for r in map(tuple, S.krige(p, g, v, guard=name).select("row", "col", "z", "fallback").collect()))
+    assert [(r[:3], r[4]) for r in got] == [(r[:3], r[4]) for r in apart] and np.allclose([r[3] for r in got], [r[3] for r in apart])
+    assert any(r[4] for r in got)
+
+
+def test_nearest_fill_takes_the_nearest_by_row_and_column():
+    """Against brute force, with a wide gap, whose cells were asked for ring by ring, each on its own."""
+    rng = np.random.default_rng(2)
+    for shape, share in (((9, 14), 0.1), ((20, 6), 0.5), ((1, 8), 0.3), ((15, 15), 0.02)):
+        a = np.where(rng.random(shape) < share, rng.random(shape), np.nan)
+        a.flat[3] = 7.0
+        have = np.argwhere(np.isfinite(a))
+        want = a.copy()
+        for r, c in np.argwhere(~np.isfinite(a)):
+            want[r, c] = a[tuple(min(have.tolist(), key=lambda p: ((p[0] - r) ** 2 + (p[1] - c) ** 2, p[0], p[1])))]
+        assert np.array_equal(G.fill_nearest(a), want)
