@@ -302,3 +302,14 @@ def test_nearest_fill_takes_the_nearest_by_row_and_column():
         for r, c in np.argwhere(~np.isfinite(a)):
             want[r, c] = a[tuple(min(have.tolist(), key=lambda p: ((p[0] - r) ** 2 + (p[1] - c) ** 2, p[0], p[1])))]
         assert np.array_equal(G.fill_nearest(a), want)
+
+
+def test_heights_beyond_the_hull_are_over_the_nearest_ground(spark):
+    """Beside the ground's outline, and where no block with ground reaches, a return still has a height if it is asked for."""
+    ground = [(0, 0, 0), (90, 0, 0), (0, 90, 0), (90, 90, 20)]
+    rows = [(i, x, y, z, True) for i, (x, y, z) in enumerate(ground)] + [(10, 40, 40, 300, False), (11, 99, 95, 320, False), (12, 5000, 5000, 700, False)]
+    p = spark.createDataFrame(rows, "id long, xi long, yi long, zi long, is_ground boolean")
+    got = {r["id"]: r["hag"] for r in G.heights_above_ground(p, 500, 100, far=True).collect()}
+    assert len(got) == 7 and got[11] == 300 and got[12] == 680
+    plain = {r["id"]: r["hag"] for r in G.heights_above_ground(p, 500, 100).collect()}
+    assert plain[11] is None and plain[12] is None and plain[10] == got[10]
