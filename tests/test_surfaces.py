@@ -313,3 +313,30 @@ def test_heights_beyond_the_hull_are_over_the_nearest_ground(spark):
     assert len(got) == 7 and got[11] == 300 and got[12] == 680
     plain = {r["id"]: r["hag"] for r in G.heights_above_ground(p, 500, 100).collect()}
     assert plain[11] is None and plain[12] is None and plain[10] == got[10]
+
+
+def sparse(slope, n=6000, seed=9):
+    """A third of a return to a square metre on an even slope, every third one raised by 1 m to 50 m."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.random(n) * 150, rng.random(n) * 120
+    raised = rng.random(n) < 1 / 3
+    return x, y, slope * x + raised * rng.integers(1, 51, n), ~raised
+
+
+@pytest.mark.parametrize("kernel", ["pmf"])
+def test_raised_returns_are_no_wider_than_their_cell(kernel):
+    """Gaps were filled from the nearest cell, so a lonely raised return was as wide as the gap about it, and ground."""
+    x, y, z, truth = sparse(0.005)
+    got = G.KERNELS[kernel](x, y, z)
+    assert (got == truth).all()
+
+
+def test_gaps_follow_the_slope():
+    """On a slope nothing stands out, so gaps take the nearest cell; raised cells are left out of them there too."""
+    a = np.where(np.random.default_rng(1).random((90, 90)) < 0.3, np.arange(90.0), np.nan)
+    assert np.array_equal(G.fill_low(a)[20:70, 20:70], G.fill_nearest(a)[20:70, 20:70])
+    a[np.isfinite(a) & (np.random.default_rng(2).random(a.shape) < 0.3)] += 20
+    off = np.where(np.isfinite(a), np.nan, G.fill_low(a) - np.arange(90.0))[20:70, 20:70]
+    assert np.nanmax(off) < 6
+    empty = np.full((3, 4), np.nan)
+    assert np.isnan(G.fill_low(empty)).all() and np.array_equal(G.fill_low(np.where(np.arange(6).reshape(2, 3) == 4, 5.0, np.nan)), np.full((2, 3), 5.0))
