@@ -323,7 +323,7 @@ def sparse(slope, n=6000, seed=9):
     return x, y, slope * x + raised * rng.integers(1, 51, n), ~raised
 
 
-@pytest.mark.parametrize("kernel", ["pmf"])
+@pytest.mark.parametrize("kernel", ["pmf", "csf"])
 def test_raised_returns_are_no_wider_than_their_cell(kernel):
     """Gaps were filled from the nearest cell, so a lonely raised return was as wide as the gap about it, and ground."""
     x, y, z, truth = sparse(0.005)
