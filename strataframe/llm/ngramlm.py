@@ -24,7 +24,7 @@ ALONE, LAST = -1, -2
 
 def pack(x: np.ndarray) -> bytes:
     """Bytes of like weight together, so that small numbers shrink."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def unpack(b: bytes, kind) -> np.ndarray:
@@ -40,6 +40,21 @@ def unpack_sorted(b: bytes, kind) -> np.ndarray:
     return np.cumsum(unpack(b, kind), dtype=kind)
 
 
+def pack_runs(x: np.ndarray, first: np.ndarray) -> bytes:
+    """Whole numbers that ascend within runs, which begin at ``first``: each as the step from the one before it."""
+    steps = np.diff(x, prepend=x.dtype.type(0))
+    steps[first] = x[first]
+    return pack(steps)
+
+
+def unpack_runs(b: bytes, kind, many: np.ndarray) -> np.ndarray:
+    """The numbers of ``pack_runs``; ``many``: the runs' lengths, none of them 0."""
+    steps = unpack(b, kind)
+    total = np.cumsum(steps, dtype=np.int64)
+    first = np.cumsum(many, dtype=np.int64) - many
+    return total - np.repeat(total[first] - steps[first], many)
+
+
 def ids(s: wordscan.Scan, vocabulary: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The id of each word; ``vocabulary``: sorted hashes of the frequent words, ``place``: their ids."""
     rare = IDS + (s.hash >> np.uint64(RARE_SHIFT)).astype(np.int64)

@@ -220,7 +220,7 @@ def _document_bigrams(vocabulary, place, shards):
                     c = np.diff(np.r_[each, len(g)]).astype(np.uint32)
                     edge = np.flatnonzero(new[each])
                     many = np.diff(np.r_[edge, len(each)]).astype(np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), *[pa.array([x], pa.binary()) for x in (ngramlm.pack(names), ngramlm.pack_sorted(g[new]), ngramlm.pack(many), ngramlm.pack(d[each].astype(np.uint32)), ngramlm.pack(c))]], ["shard", "docs", "gram", "many", "doc", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), *[pa.array([x], pa.binary()) for x in (ngramlm.pack(names), ngramlm.pack_sorted(g[new]), ngramlm.pack(many), ngramlm.pack_runs(d[each].astype(np.uint32), edge), ngramlm.pack(c))]], ["shard", "docs", "gram", "many", "doc", "n"])
 
     return run
 
@@ -261,8 +261,9 @@ def _gains(model: ngramlm.Model):
                     continue
                 names, gram = ngramlm.unpack(row["docs"], np.int64), ngramlm.unpack_sorted(row["gram"], np.int64)
                 at = np.minimum(np.searchsorted(have, gram), len(have) - 1)
-                value = np.repeat(np.where(have[at] == gram, gain[at], 0.0), ngramlm.unpack(row["many"], np.uint32))
-                total = np.bincount(ngramlm.unpack(row["doc"], np.uint32), value * ngramlm.unpack(row["n"], np.uint32), len(names))
+                many = ngramlm.unpack(row["many"], np.uint32)
+                value = np.repeat(np.where(have[at] == gram, gain[at], 0.0), many)
+                total = np.bincount(ngramlm.unpack_runs(row["doc"], np.uint32, many), value * ngramlm.unpack(row["n"], np.uint32), len(names))
                 some = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(total[some])], ["doc_id", "gain"])
 

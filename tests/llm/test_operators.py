@@ -546,3 +546,15 @@ def test_successors_go_round(spark):
     ids = [5, -3, 2**40, 17, 5]
     got = {r["k"]: r["next"] for r in common.successors(spark.createDataFrame([(i,) for i in ids], "k long"), "k").collect()}
     assert got == {-3: 5, 5: 17, 17: 2**40, 2**40: -3}
+
+
+def test_documents_of_a_bigram_travel_as_steps():
+    """Smaller than the numbers themselves, and the same numbers come back."""
+    rng = np.random.default_rng(3)
+    many = rng.integers(1, 400, 300).astype(np.uint32)
+    runs = np.concatenate([np.sort(rng.choice(2000, n, replace=False)) for n in many]).astype(np.uint32)
+    first = np.cumsum(many) - many
+    packed = ngramlm.pack_runs(runs, first)
+    assert (ngramlm.unpack_runs(packed, np.uint32, many) == runs).all() and len(packed) < 0.8 * len(ngramlm.pack(runs))
+    none = np.zeros(0, np.uint32)
+    assert len(ngramlm.unpack_runs(ngramlm.pack_runs(none, none.astype(int)), np.uint32, none)) == 0
