@@ -111,6 +111,16 @@ def test_tin_reproduces_a_plane(spark):
     assert got.agg(F.max("off")).first()[0] < 1e-6 and got.count() > 300
 
 
+def test_tin_goes_on_beyond_the_hull(spark):
+    """Two clouds of a plane at opposite corners, and one place apart: with ``far`` every cell of the bounding box has the plane."""
+    p = plane(spark, 1500)
+    p = p.unionByName(p.select((F.col("xi") + 700).alias("xi"), (F.col("yi") + 420).alias("yi"), (F.col("z") + 350 - 105).alias("z")))
+    p = p.unionByName(spark.createDataFrame([(350, 900, 100 + 0.5 * 350 - 0.25 * 900)], "xi long, yi long, z double"))
+    got = S.tin(p, 10, 100, 30, far=True).toPandas()
+    assert len(got) == 90 * 100 and not got.duplicated(["row", "col"]).any()
+    assert (got["z"] - (100 + 0.5 * (got["col"] + 0.5) * 10 - 0.25 * (got["row"] + 0.5) * 10)).abs().max() < 1e-6
+
+
 def test_knn_against_brute_force(spark):
     p = plane(spark, 120, 9)
     a = p.toPandas()
