@@ -111,6 +111,26 @@ def test_tin_reproduces_a_plane(spark):
     assert got.agg(F.max("off")).first()[0] < 1e-6 and got.count() > 300
 
 
+@pytest.mark.parametrize("n", [3, 40, 300, 3000])
+def test_the_triangulated_surface_without_triangles(n):
+    """The surface found for queries alone is that of the triangulation; queries at points and outside the hull are among them."""
+    rng = np.random.default_rng(n)
+    x, y, z = rng.random(n) * 700 + 5e5, rng.random(n) * 700 - 3e4, rng.random(n) * 100
+    qx, qy = np.r_[x[:50], rng.random(400) * 800 + 5e5 - 50], np.r_[y[:50], rng.random(400) * 800 - 3e4 - 50]
+    want = S.linear_on(S.triangulate(x, y), x, y, z, qx, qy, 1.0)
+    got = S.on_delaunay(x, y, z, qx, qy, room=20_000)
+    both = np.isfinite(want)
+    assert np.isfinite(got[both]).all() and np.allclose(got[both], want[both], atol=1e-6) and (np.isfinite(got) & ~both).mean() < 0.01
+
+
+def test_the_triangulated_surface_on_a_lattice():
+    """Many points on one circle: any of their triangles will do, and a plane is a plane; points on a line have no surface."""
+    x, y = (a.ravel().astype(float) for a in np.mgrid[0:20, 0:20])
+    qx, qy = (a.ravel() for a in np.mgrid[0:19.01:0.5, 0:19.01:0.25])
+    assert np.allclose(S.on_delaunay(x, y, 3 + x - 2 * y, qx, qy), 3 + qx - 2 * qy)
+    assert np.isnan(S.on_delaunay(np.arange(9.0), 2 * np.arange(9.0), np.ones(9), np.arange(9.0), 2 * np.arange(9.0))).all()
+
+
 def test_tin_goes_on_beyond_the_hull(spark):
     """Two clouds of a plane at opposite corners, and one place apart: with ``far`` every cell of the bounding box has the plane."""
     p = plane(spark, 1500)
