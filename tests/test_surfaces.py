@@ -415,3 +415,11 @@ def test_outliers_are_found_from_blocks_and_beyond(spark, monkeypatch):
     assert {q for q, r in got.items() if r["outlier"]} == set(map(tuple, p[want > want.mean() + 2.5 * want.std()].tolist())) and joined == [3]
     few = {r["xi"]: r["distance"] for r in G.outliers(frame.filter("xi > 5000")).collect()}
     assert few == {9000: 3 / 8, 9003: 3 / 8} and G.outliers(frame.limit(0)).count() == 0
+
+
+def test_pmf_keeps_all_ground_of_a_sparse_tilted_cloud():
+    rng = np.random.default_rng(0)
+    x, y = rng.uniform(0, 150, (2, 1100))
+    raised = rng.random(1100) < 1 / 3
+    got = G.pmf(x, y, 0.05 * x + np.where(raised, rng.integers(1, 50, 1100), 0))
+    assert (got == ~raised).all()
