@@ -417,6 +417,27 @@ def test_outliers_are_found_from_blocks_and_beyond(spark, monkeypatch):
     assert few == {9000: 3 / 8, 9003: 3 / 8} and G.outliers(frame.limit(0)).count() == 0
 
 
+def test_smrf_tells_a_lone_raised_return_between_distant_neighbours():
+    i, j = (v.ravel().astype(float) for v in np.mgrid[:12, :12])
+    x, y = 16 * j + (3 * i) % 5, 16 * i + (2 * j) % 5
+    raised = (i % 5 == 2) & (j % 5 == 2)
+    got = G.smrf(x, y, 0.01 * x + raised)
+    assert (got == ~raised).all()
+
+
+def test_falls_are_those_of_openings_of_openings():
+    rng = np.random.default_rng(5)
+    bounds = 0.05 * np.arange(1, 12)
+    for shape in ((30, 41), (1, 25), (25, 3)):
+        a, asked = rng.normal(size=shape), rng.random(shape) < 0.4
+        last, want = a, np.zeros(shape, bool)
+        for radius, bound in enumerate(bounds, 1):
+            cur = G.opening(last, radius)
+            want |= last - cur > bound
+            last = cur
+        assert (G.falls(a, asked, bounds) == (want & asked)).all()
+
+
 def test_pmf_keeps_all_ground_of_a_sparse_tilted_cloud():
     rng = np.random.default_rng(0)
     x, y = rng.uniform(0, 150, (2, 1100))
