@@ -163,9 +163,9 @@ def shoelace(ring: str):
 
 def knee(cells: DataFrame, height: int, width: int, most: int = 8) -> DataFrame:
     """``radius, covered, gain``: cells within each radius of data; the knee is where the curve is furthest above its chord."""
-    from .rasters import near
+    from .rasters import near_counts
 
-    d = near(cells, most, height, width).groupBy(F.ceil(F.sqrt("d2")).alias("radius")).agg(F.count(F.lit(1)).alias("n"))
+    d = near_counts(cells, most, height, width).groupBy(F.ceil(F.sqrt("d2")).alias("radius")).agg(F.sum("n").alias("n"))
     w = Window.orderBy("radius")
     c = d.withColumn("covered", F.sum("n").over(w))
     ends = c.agg(F.min_by("covered", "radius").alias("c0"), F.max_by("covered", "radius").alias("c1"), F.min("radius").alias("r0"), F.max("radius").alias("r1"))  # a single row

@@ -190,3 +190,11 @@ def test_size_of_the_raster_comes_without_a_shuffle(spark, monkeypatch):
     r, h, w = raster_queries.surface(spark, "/root/testdata/sf0.001")
     assert (h, w) == tuple(v + 1 for v in r.agg(F.max("row"), F.max("col")).first())
     assert "hashpartitioning" not in binding.last_cell(made[0])._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("side", [4, 9, 1024])
+def test_counted_distances_are_those_of_near(spark, side):
+    rng = np.random.default_rng(7)
+    held = cells(spark, np.where(rng.random((30, 23)) < 0.01, 1.0, np.nan))
+    want = sorted(map(tuple, X.near(held, 5, 28, 23).groupBy("d2").count().collect()))
+    assert sorted(map(tuple, X.near_counts(held, 5, 28, 23, side).collect())) == want
